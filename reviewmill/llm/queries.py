@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding, toxicity
+from . import exact_dedup, mixing, quality, sharding, tokens, toxicity, warc
 from .common import table
 
 SHARDS = 24
+#: File of the word-level tokenizer, and the id that ends a document.
+WORD_BPE, END_ID = "word_bpe_49k.json", 2
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +31,19 @@ def op5_toxic_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_docs(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
