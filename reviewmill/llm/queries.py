@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding, tokens, toxicity, warc
+from . import exact_dedup, licenses, mixing, quality, sharding, tokens, toxicity, warc
 from .common import table
 
 SHARDS = 24
@@ -13,6 +13,10 @@ SHARDS = 24
 WORD_BPE, END_ID = "word_bpe_49k.json", 2
 
 
+def op1_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
