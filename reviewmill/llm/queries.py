@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, quality, sharding, tokens, toxicity, warc
+from . import exact_dedup, licenses, mixing, near_dups, quality, sharding, tokens, toxicity, warc
 from .common import table
 
 SHARDS = 24
@@ -49,5 +49,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.link(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
