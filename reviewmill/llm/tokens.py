@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,64 +18,79 @@ from .common import fresh_path, materialise, ship
 
 #: Ids of a sequence, and sequences of a record batch: sequence k of a file is row k % BATCH of batch k // BATCH.
 SEQUENCE, BATCH = 2048, 64
-#: Entries of a worker's memory of encoded words; beyond that it starts anew.
-MEMORY = 600_000
+#: Entries of a worker's memory of pieces; beyond that it starts anew.
+MEMORY = 300_000
 
-_PLAIN = re.compile(rb"[!-~]+")
-#: The tokenizer's own way of cutting plain ASCII words, after lower-casing.
-_CUTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LETTERS = r"a-z\u00df-\u00f6\u00f8-\u024f"
+#: Texts of these characters only, precomposed Latin letters among them, need no normalising but lower-casing.
+_PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+#: The tokenizer's own way of cutting such texts, after lower-casing.
+_CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t-\r ]+")
 
 
-class WordEncoder(dict):
-    """Bytes of the ids of each white-space-separated word, encoded once and remembered.
+def byte_alphabet() -> list[str]:
+    """The character by which byte-level models write each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
 
-    Words are encoded apart because the tokenizer drops white space and never looks past it. Plain ASCII words go to
-    its model by the pieces that its pre-tokenizer makes; all others, and words with a special token, go through all
-    of it.
+
+class Encoder:
+    """Encodes texts to the bytes of their ids.
+
+    The tokenizer drops white space and never looks past it, nor past the pieces that its pre-tokenizer makes. So
+    plain texts are cut into those pieces, and each piece is encoded by its model once and remembered. Words with
+    any other character, or with a special token, go through all of it.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
-        self.model, self.pieces = self.tokenizer.model, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
+        self.pieces = _Pieces(self)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > MEMORY:
-            self.clear()
-        if _PLAIN.fullmatch(word) and b"<|" not in word:
-            ids = b"".join(map(self.piece, _CUTS.findall(word.lower())))
-        else:
-            ids = self.bytes(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+    def bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
-    def piece(self, piece: bytes) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            ids = self.bytes([t.id for t in self.model.tokenize(piece.decode())])
-            if len(piece) < 64:
-                self.pieces[piece] = ids
-        return ids
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _CUTS.findall(text.lower())))
 
-    def bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.plain(text)
+        words = re.findall(r"[^\t-\r ]+", text)
+        return b"".join(
+            self.plain(w) if _PLAIN.fullmatch(w) and "<|" not in w else self.bytes(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words
+        )
+
+
+class _Pieces(dict):
+    """The bytes of each piece's ids."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner, self.model, self.alphabet = owner, owner.tokenizer.model, byte_alphabet()
 
-    def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMORY:
+            self.clear()
+        seen = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        ids = self.owner.bytes([t.id for t in self.model.tokenize(seen)])
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(file: str) -> WordEncoder:
+def encoder(file: str) -> Encoder:
     """One a worker, kept from task to task."""
     if file not in _encoders:
-        _encoders[file] = WordEncoder(file)
+        _encoders[file] = Encoder(file)
     return _encoders[file]
 
 
@@ -173,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> D
         code, writer, part = encoder(tokenizer), None, TaskContext.get().partitionId()
         end = code.bytes([end_id])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if writer is None:
                     path = files.new_file(folder, f"part-{part:06d}", ".arrow")
                     writer = SequenceWriter(path, code.dtype)
