@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,11 +17,13 @@ from .common import ship
 
 #: The model is fitted on so many labelled documents of each label at most, the first in order of a hash of the id,
 #: and on so many characters at most. Everything else covers all documents.
-FIT_DOCS, FIT_CHARS = 4000, 40_000_000
+FIT_DOCS, FIT_CHARS = 2000, 16_000_000
 #: Features are words and their beginnings of these lengths. One is taken if so much speaks against its being spread
 #: over toxic and other sentences by chance (Chernoff bound, in nats); so many are taken at most.
 STARTS, LEAST_NATS, MOST_FEATURES = (4, 5, 6, 7), 12.0, 4096
 
+#: Least part of the sentences with a feature that are of toxic documents.
+LEAST_PURITY = 0.8
 #: A sentence without features is never likelier toxic than this log-odds says: labels without a cause don't raise it.
 MOST_BIAS = -8.0
 
@@ -82,18 +85,20 @@ def _nats(k: float, n: float, p: float) -> float:
     return n * (x * np.log(x / p) + (1 - x) * np.log((1 - x) / (1 - p))) if x > p else 0.0
 
 
-def choose(bags: list[tuple[list[set[str]], int]]) -> list[str]:
+def choose(bags: list[tuple[list[tuple[str, ...]], int]]) -> list[str]:
     """Features that mark toxic sentences. Different sentences are counted, so that copies of a document weigh once."""
-    kinds: tuple[set[frozenset[str]], set[frozenset[str]]] = (set(), set())
+    kinds: tuple[set[tuple[str, ...]], set[tuple[str, ...]]] = (set(), set())
     for bag, label in bags:
-        kinds[label].update(map(frozenset, bag))
-    counts = [Counter(f for s in kind for f in {f for w in s for f in features(w)}) for kind in kinds]
+        kinds[label].update(bag)
+    toxic = Counter(f for s in kinds[1] for f in {f for w in s for f in features(w)})
+    some = {f for f, k in toxic.items() if k >= 3}
+    counts = (Counter(f for s in kinds[0] for f in {f for w in s for f in features(w)} if f in some), toxic)
     share = len(kinds[1]) / max(1, len(kinds[0]) + len(kinds[1]))
-    nats = {f: _nats(k, k + counts[0][f], share) for f, k in counts[1].items() if k >= 3} if 0 < share < 1 else {}
+    nats = {f: _nats(k, k + counts[0][f], share) for f, k in ((f, toxic[f]) for f in some)} if 0 < share < 1 else {}
     purity = {f: counts[1][f] / (counts[1][f] + counts[0][f] + 0.5) for f in nats}
     chosen: list[str] = []
     taken: set[str] = set()
-    for f in sorted((f for f, x in nats.items() if x >= LEAST_NATS and purity[f] >= 0.5), key=lambda f: (len(f), f)):
+    for f in sorted((f for f, x in nats.items() if x >= LEAST_NATS and purity[f] >= LEAST_PURITY), key=lambda f: (len(f), f)):
         word = f.rstrip("$")
         if not any(word[:n] in taken and purity[word[:n]] >= 0.95 * purity[f] for n in STARTS if f != word[:n]):
             taken.add(f)
@@ -109,7 +114,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 500, rate: float = 0.2, shrink
     """
     bags = []
     for text, label in dict(rows).items():
-        bag = [set(_WORD.findall(s)) for s in _SENTENCE.split((text or "").lower())]
+        bag = [tuple(sorted(set(map(sys.intern, _WORD.findall(s))))) for s in _SENTENCE.split((text or "").lower())]
         bags.append(([s for s in bag if s], label))
     words = choose(bags)
     at = {w: i for i, w in enumerate(words)}
