@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dups, quality, sharding, tokens, toxicity, warc
+from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, sharding, tokens, toxicity, warc
 from .common import table
 
 SHARDS = 24
 #: File of the word-level tokenizer, and the id that ends a document.
 WORD_BPE, END_ID = "word_bpe_49k.json", 2
+#: File of the SentencePiece model.
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,12 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
