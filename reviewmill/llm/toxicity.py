@@ -25,7 +25,7 @@ STARTS, LEAST_NATS, MOST_FEATURES = (4, 5, 6, 7), 12.0, 4096
 #: Least part of the sentences with a feature that are of toxic documents.
 LEAST_PURITY = 0.8
 #: A sentence without features is never likelier toxic than this log-odds says: labels without a cause don't raise it.
-MOST_BIAS = -8.0
+MOST_BIAS = -12.0
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -132,7 +132,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 500, rate: float = 0.2, shrink
     y = np.array([label for _, label in bags], float)
     doc, item, feature = np.array(doc, int), np.array(item, int), np.array(feature, int)
     w, m, v = np.zeros(len(words) + 1), 0.0, 0.0
-    w[-1] = -6.0
+    w[-1] = MOST_BIAS
     for step in range(1, steps + 1):
         z = w[-1] + np.bincount(item, w[feature], k) if k else np.zeros(0)
         soft, base = np.logaddexp(0, z), np.logaddexp(0, w[-1])  # -log(1 - p)
