@@ -23,8 +23,8 @@ from .common import ship
 
 #: What a model writes for a space.
 SPACE = "▁"
-#: Entries of a worker's memories of encoded words; beyond that they start anew.
-MEMORY = 400_000
+#: Entries of a worker's memory of encoded words. When it is full it becomes the old one, from which words in use come back.
+MEMORY = 300_000
 _SINGLE = (1,)
 
 
@@ -188,9 +188,19 @@ class _Known(dict):
 
     def __init__(self, owner: Transducer):
         super().__init__()
-        self.owner = owner
+        self.owner, self.old = owner, {}
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) < 64:
+            if len(self) > MEMORY:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
 
     def __missing__(self, text: str) -> bytes:
+        if (ids := self.old.get(text)) is not None:
+            return self.keep(text, ids)
         t = self.owner
         inner = t.inner
         # no piece spans a pair of characters that none holds
@@ -203,11 +213,7 @@ class _Known(dict):
                 i = t.arcs.get(p)
                 ids += [i] if i is not None else [t.byte_ids[b] for b in p.encode("utf-8", "replace")]
             out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) < 64:
-            if len(self) > MEMORY:
-                self.clear()
-            self[text] = out
-        return out
+        return self.keep(text, out)
 
 
 _compiled: dict[str, Transducer] = {}
