@@ -98,7 +98,12 @@ class Transducer:
         self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
         if any(x[1] == SPACE != x[0] for x in self.inner):
             raise ValueError("a piece holds a space after another character")
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # letters and digits part from all else where no piece joins them; characters of pieces that do are no letters here
+        crossing = {c for x in self.inner for c, d in (x, x[::-1]) if c.isalnum() and not d.isalnum() and d != SPACE}
+        joined = any((x[0] in crossing) != (x[1] in crossing) and x[0].isalnum() and x[1].isalnum() for x in self.inner)
+        letter = f"[^\\W_{re.escape(''.join(sorted(crossing)))}]"
+        other = f"(?:(?!{letter})[^{SPACE}])"
+        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if joined else f"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+")
         self.left_alone: dict[tuple[str, str], bool] = {}
         self.known = _Known(self)
         self.shown = [p.replace(SPACE, " ") for p in self.names]
