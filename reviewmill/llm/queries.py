@@ -20,7 +20,7 @@ def op1_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("slot", "in_history")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
