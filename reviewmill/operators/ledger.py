@@ -64,8 +64,10 @@ def overall_stats(downloads: DataFrame) -> DataFrame:
 
 def product_counts(products: DataFrame, downloads: DataFrame) -> DataFrame:
     """One row: products in all, and products with an image."""
-    some = downloads.filter("status = 'success'").agg(F.count_distinct("asin").alias("products_with_images"))
-    return products.agg(F.count(F.lit(1)).alias("total_products")).join(some)
+    none = F.lit(0).cast("long")
+    total = products.agg(F.count(F.lit(1)).alias("total_products")).withColumn("products_with_images", none)
+    some = downloads.filter("status = 'success'").agg(F.count_distinct("asin").alias("products_with_images")).withColumn("total_products", none)
+    return total.unionByName(some).agg(F.sum("total_products").alias("total_products"), F.sum("products_with_images").alias("products_with_images"))
 
 
 def images_per_product(downloads: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from ..functions import lexicon
 from ..functions.text import let, quoted, strip
 from ..sources.session import ship
-from .rules import Rule
+from .rules import Rule, bounded
 
 HIT = StructType([
     StructField("start", IntegerType()), StructField("minus_size", IntegerType()), StructField("ord", IntegerType()),
@@ -138,8 +138,8 @@ def with_indexed_hits(df: DataFrame, text: str, rules: list[Rule], out: str = "h
 
 
 def keyword_join(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """docs x rules (header, pattern, label): a row for each rule whose keyword is in the text. rules is small."""
-    return docs.join(F.broadcast(rules), F.contains(F.col(text), F.col("pattern"))).select(key, "header", "pattern", "label")
+    """docs x rules (header, pattern, label): a row for each rule whose keyword is in the text. rules is checked to be small."""
+    return docs.join(F.broadcast(bounded(rules)), F.contains(F.col(text), F.col("pattern"))).select(key, "header", "pattern", "label")
 
 
 def pattern_hits(segs: Column, rules: list[Rule]) -> Column:

@@ -24,6 +24,13 @@ class Rule:
     pri: int | None = None
 
 
+def bounded(table: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """A table that may be broadcast: one with more rows than `most` is an error."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows can't be broadcast")
+    return table
+
+
 def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame) -> DataFrame:
     """names(name) with the header that each means: the same name, an alias, or the first whose stem it holds.
 
@@ -33,7 +40,7 @@ def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame) ->
     alias = aliases.select(F.col("alias").alias("name"), F.col("header").alias("by_alias")).dropDuplicates(["name"])
     stem = F.regexp_replace("header", "标签$", "")
     stems = headers.select(stem.alias("stem"), "header", "ord").filter("stem <> ''")
-    by_stem = names.join(F.broadcast(stems), F.contains(F.col("name"), F.col("stem"))).groupBy("name").agg(F.min_by("header", "ord").alias("by_stem"))
+    by_stem = names.join(F.broadcast(bounded(stems)), F.contains(F.col("name"), F.col("stem"))).groupBy("name").agg(F.min_by("header", "ord").alias("by_stem"))
     out = names.join(exact, "name", "left").join(alias, "name", "left").join(by_stem, "name", "left")
     return out.select("name", F.coalesce("same", "by_alias", "by_stem").alias("header"))
 

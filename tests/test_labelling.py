@@ -127,3 +127,26 @@ def test_segments(spark):
     df = spark.createDataFrame([("好。但是坏！不过行",), ("",)], "t string")
     got = [[tuple(s) for s in r[0]] for r in df.select(matching.segments(F.col("t"))).collect()]
     assert got == [[("好", 1, 0), ("坏", 2, 2), ("行", 2, 4)], [("", 1, 0)]]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["画面很清晰", "画面不清晰", None, "噪音大，但是画面清晰"])], "review_id int, content string")
+    df.write.parquet(str(tmp_path / "in"))
+    label = lambda x: labelling.label_reviews(x, "content", RULES)
+    q = label(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("labels").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(spark.table("labels").collect(), key=str) == sorted(label(df).collect(), key=str)
+
+
+def test_rule_tables(spark):
+    from reviewmill.operators import rules
+
+    config = '{"exact_rules":{"h":{"k":"l"}},"fuzzy_rules":{"h":[["a.b","x"],["c","y"]]},"en_keyword_to_label_map":{"h":{"e":"z"}}}'
+    flat = rules.flatten_config(spark.createDataFrame([(config,)], "config string"))
+    assert sorted(tuple(r) for r in flat.collect()) == [("h", "en_fallback", 0, "e", "z"), ("h", "exact", 0, "k", "l"), ("h", "fuzzy", 0, "a.b", "x"), ("h", "fuzzy", 1, "c", "y")]
+    compiled = rules.collect_rules(flat.withColumn("pri", F.lit(None)))
+    assert [r.pattern for r in compiled] == ["e", "k", "a.b", "c"]
+    sheet = spark.createDataFrame([("h", " k ", "v", "fuzzy"), ("h", "nan", "v", None), (None, "k", "v", ""), ("h", "q", "v", None)], "header string, keyword string, value string, match_type string")
+    assert sorted(tuple(r) for r in rules.read_rule_sheet(sheet).collect()) == [("h", "k", "v", "fuzzy"), ("h", "q", "v", "exact")]
+    with pytest.raises(ValueError):
+        rules.bounded(spark.range(5), 4)
