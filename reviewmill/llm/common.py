@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import ship  # noqa: F401  the operators take it from here
+
 #: Keys with more than 1/HOT_KEYS of all rows: there are fewer than HOT_KEYS of them, so they can be broadcast.
 HOT_KEYS = 4096
 #: Rows of one block in prefix_sums().
@@ -18,7 +18,6 @@ BLOCK_ROWS = 2000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _scratch: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,20 +56,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, wherever the driver imported it from."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    _shipped.add(sc.applicationId)
-
-
 def attach_by_key(facts: DataFrame, dims: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of facts with dims (one row a key; `size`: the key's rows in facts).
 
