@@ -252,9 +252,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Classes that share a band meet in a bucket. First every one is compared with the leaders of two of its buckets,
     the class there whose bands are the commonest: pairs grow with the documents, not with the square of a bucket.
-    Then, in buckets that still hold several components, all pairs across components are looked at in blocks:
-    sketches first, then bitmaps, which never rule out a similar pair, then full sets. So every pair in a bucket is
-    compared or already connected, and buckets have no cap.
+    Then, in buckets that still hold several components, all pairs across components are looked at, in buckets of
+    more than two in blocks: sketches first, then bitmaps, which never rule out a similar pair, then full sets. So
+    every pair in a bucket is compared or already connected, and buckets have no cap.
 
     Null doc_ids are never linked by id and have a null component; rows that repeat a doc_id are one document. An
     empty table gives an empty one; other columns are not read.
@@ -283,7 +283,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stars = materialise(_ordered(stars), "stars")
     first = components(verify(docs, plausible(stars, reps, percent), k, percent))
 
-    left = materialise(_with_component(members.filter("size > 2"), first, "doc", "comp"), "left")
+    left = materialise(_with_component(members, first, "doc", "comp"), "left")
+    # a bucket of two is one pair; the leader there may be neither the first nor the last of the other's
+    twos = left.filter("size = 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("doc").alias("a"), F.min("doc").alias("b"))
+    twos = materialise(twos.filter("lo <> hi").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "twos")
+    left = left.filter("size > 2")
     mixed = left.groupBy("key", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("who"), F.sum(F.col("doc") % 1_000_003).alias("sum"))
     # buckets with the same documents are one
     mixed = mixed.filter("lo <> hi").groupBy("size", "who", "sum").agg(F.min("key").alias("key")).select("key")
@@ -295,7 +299,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("block") == F.col("i"), 1).otherwise(2)
     dealt = dealt.withColumn("left", side).drop("block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = dealt.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-    more = materialise(more.join(stars, ["a", "b"], "left_anti"), "more")
+    more = materialise(more.join(stars, ["a", "b"], "left_anti").unionByName(plausible(twos, reps, percent)).distinct(), "more")
     if more.isEmpty():
         final = first
     else:

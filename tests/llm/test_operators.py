@@ -278,6 +278,33 @@ def test_near(docs, none, rows, k):
         assert near_dups.link(none, k).count() == 0
 
 
+def middle_leader_rows():
+    """1 and 2 are similar and meet in buckets of two only; 2 leads 1 there, but 3 is a more and 4 a less famous leader of 1."""
+
+    def words(seed, n):
+        r = random.Random(seed)
+        return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    x = words(0, 100)
+    y = x[:-9] + words(1, 9)
+    z1, z2 = x[30:] + words(100, 40), x[30:] + words(241, 40)
+    out = [x, y, z1, z2, z1[:-1] + words(30000, 1), z1[:-1] + words(30001, 1), z2[:-5] + words(20015, 5)]
+    out += [y[30:] + words(s, 40) for s in (10010, 10011, 10013, 10800)]
+    return [(i, " ".join(w)) for i, w in enumerate(out, 1)]
+
+
+def test_near_buckets_of_two(spark):
+    rows = middle_leader_rows()
+    keys = {i: set(near_dups.band_keys(near_dups.sketch(near_dups.shingle_set(t.encode(), 5))).tolist()) for i, t in rows}
+    buckets = [b for k in set().union(*keys.values()) if len(b := {i for i in keys if k in keys[i]}) > 1]
+    fame = {i: sum(len(b) for b in buckets if i in b) for i in keys}
+    order = lambda i: (fame[i], -i)
+    assert {1, 2} in buckets and all(b == {1, 2} for b in buckets if {1, 2} <= b)
+    assert order(1) < order(4) < order(2) < order(3) and {1, 4} in buckets and any({1, 3} <= b for b in buckets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.link(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == reachable(rows, 5) and got[2][1] == 1
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 5, 300):
