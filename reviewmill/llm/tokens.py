@@ -22,8 +22,10 @@ SEQUENCE, BATCH = 2048, 64
 MEMORY = 300_000
 
 _LETTERS = r"a-z\u00df-\u00f6\u00f8-\u024f"
+#: Precomposed Latin letters that lower-casing leaves in _LETTERS: not, for one, U+018F, whose small letter is U+0259.
+_LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{_LETTERS}]", c.lower()))
 #: Texts of these characters only, precomposed Latin letters among them, need no normalising but lower-casing.
-_PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+_PLAIN = re.compile(rf"[\t-\r -~{_LATIN}]*")
 #: The tokenizer's own way of cutting such texts, after lower-casing.
 _CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t-\r ]+")
 

@@ -246,6 +246,14 @@ def test_tokens(spark, docs, none, rows):
     assert tokens.token_index(none, file, 2).count() == 0
 
 
+def test_plain_letters():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(file := public_tokenizers.path("word_bpe_49k.json"))
+    code = tokens.Encoder(file)
+    for c in map(chr, range(0xC0, 0x250)):
+        for word in (f"{c}lifba", f"ab{c}cd", f"a{c}{c.lower()}'s 3{c}{c}!", f"{c}'S-{c}"):
+            assert np.frombuffer(code.encode(word), code.dtype).tolist() == library.encode(word, add_special_tokens=False).ids, word
+
+
 def reachable(rows, k, percent=80):
     sets = {}
     for r in rows:
