@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -42,12 +42,40 @@ def template_grams(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
     return rows
 
 
+def verified_votes(places: Column, n_grams: Column) -> Column:
+    """Votes and start of a span's best reading: each template position votes once, in the order of the text.
+
+    places: the span's (pos, tpos), sorted. A reading goes on from a vote to a later one, also later in the template,
+    on a diagonal no more than GAP away, so words are missing or added between votes only. Hits farther back than the
+    template and GAP can't be continued and are forgotten: the work for a hit is bounded, however long the span.
+    """
+
+    def step(state: Column, hit: Column) -> Column:
+        pos, tpos = hit["pos"], hit["tpos"]
+        recent = F.filter(state["recent"], lambda h: h["pos"] >= pos - n_grams - GAP)
+        fits = F.filter(recent, lambda h: (h["pos"] < pos) & (h["tpos"] < tpos) & (F.abs((pos - tpos) - (h["pos"] - h["tpos"])) <= GAP))
+        longest = F.array_max(F.transform(fits, lambda h: F.struct(h["votes"].alias("votes"), h["minus"].alias("minus"))))
+        # of equal readings, the earliest
+        votes, minus = F.coalesce(longest["votes"], F.lit(0)) + 1, F.coalesce(longest["minus"], -pos)
+        here = F.array(F.struct(pos.alias("pos"), tpos.alias("tpos"), votes.alias("votes"), minus.alias("minus")))
+        # `here` is bound before it is used twice
+        return F.transform(here, lambda h: F.struct(
+            F.concat(recent, F.array(h)).alias("recent"), F.greatest(state["best"], F.struct(h["votes"].alias("votes"), h["minus"].alias("minus"))).alias("best")
+        ))[0]
+
+    none = F.expr(
+        "struct(cast(array() as array<struct<pos: int, tpos: int, votes: int, minus: int>>) as recent, named_struct('votes', 0, 'minus', 0) as best)"
+    )
+    return F.aggregate(places, none, step, lambda s: F.struct(s["best"]["votes"].alias("votes"), (-s["best"]["minus"]).alias("start")))
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """Licenses in every row of docs (doc_id, text).
 
     All rolling k-grams of a text are joined by hash, and by their words, to the positions of the templates. A hit
     votes for the diagonal on which its template would start. A phrase of the base stands where its diagonal has
-    all votes. Votes on neighbouring diagonals are one span; a notice's span counts with its part of the k-grams.
+    all votes. Votes on neighbouring diagonals are one span; a notice's span counts with the part of its k-grams that
+    stand there, each once and in order (`verified_votes`): a k-gram that repeats in the text is one vote.
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best part of any
     template), n_spans (accepted spans of notices), first_span. Null texts are empty and have no words, zero counts
     and empty labels. Each row is scanned on its own, also those that repeat a doc_id; other columns are not read.
@@ -68,16 +96,19 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
     hits = hits.select("row", "doc_id", "n_words", "pos", "tpl", "tpos", "n_grams", "label", "base")
     # from here on a text's hits are together: one shuffle of the hits and a row for each text
     hits = hits.repartition("row")
-    diagonals = hits.groupBy("row", "doc_id", "n_words", "tpl", "n_grams", "label", "base", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("tpos").alias("votes"), F.min("pos").alias("start")
-    )
-    along = Window.partitionBy("row", "tpl").orderBy("diagonal")
+    hits = hits.withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    along = Window.partitionBy("row", "tpl").orderBy("diagonal", "pos")
     opens = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= F.when(F.col("base"), 0).otherwise(GAP), 0).otherwise(1)
-    spans = diagonals.withColumn("opens", opens).withColumn("span", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = hits.withColumn("opens", opens).withColumn("span", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    # a phrase of the base has one diagonal, where no position has two votes
     spans = spans.groupBy("row", "doc_id", "n_words", "tpl", "n_grams", "label", "base", "span").agg(
-        F.sum("votes").alias("votes"), F.min("start").alias("start")
+        F.count("tpos").alias("hits"), F.min("pos").alias("first"), F.collect_list(F.when(~F.col("base"), F.struct("pos", "tpos"))).alias("places")
+    )
+    verified = F.when(F.col("base") | (F.col("hits") < 2), F.struct(F.col("hits").cast("int").alias("votes"), F.col("first").alias("start"))).otherwise(
+        verified_votes(F.array_sort("places"), F.col("n_grams"))
     )
-    part = F.when(F.col("tpl").isNotNull(), F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0)))
+    spans = spans.withColumn("best", verified).select("*", "best.votes", "best.start")
+    part = F.when(F.col("tpl").isNotNull(), F.col("votes") / F.col("n_grams"))
     place = F.col("base") & (F.col("votes") == F.col("n_grams"))
     notice = ~F.col("base") & (part >= LEAST)
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")

@@ -92,6 +92,14 @@ def test_license_with_a_word_more(spark):
     assert got == {1: "apache-2.0", 2: ""}
 
 
+def test_license_votes_are_different_positions(spark):
+    texts = ["rated 4.0, 4.0, 4.0, 4.0, 4.0", "2.0 " * 7, "4.0 " * 500, "4.0 4.0 4.0 licensed under CC BY-NC 4.0", "by nc 4 0 licensed under cc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score, r.n_spans, r.first_span) for r in licenses.scan_licenses(df).collect()}
+    assert [got[i][0] for i in range(3)] == [""] * 3 and got[0][1] == round(1 / 6, 6)
+    assert "cc-by-nc-4.0" in got[3][0].split(",") and got[3][1:] == (1, 1, 6) and got[4][2] == 0
+
+
 def test_mix(docs, none, rows):
     got = mixing.mix_plan(docs).collect()
     size = {r[0]: len((r[1] or "").encode().split()) for r in rows}
