@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialise, ship
 
 #: The model is fitted on so many labelled documents of each label at most, the first in order of a hash of the id,
-#: and on so many characters at most. Everything else covers all documents.
+#: and on so many characters at most: a text that would go beyond is passed over. Everything else covers all documents.
 FIT_DOCS, FIT_CHARS = 2000, 16_000_000
 #: Features are words and their beginnings of these lengths. One is taken if so much speaks against its being spread
 #: over toxic and other sentences by chance (Chernoff bound, in nats); so many are taken at most.
@@ -159,13 +159,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for label in (0, 1):
         some = usable.filter(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(*order).limit(FIT_DOCS)
         picked = some if picked is None else picked.unionByName(some)
-    rows, chars = [], 0
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
-    for r in sorted(texts.collect(), key=lambda r: (hash(r.doc_id), r.text)):
-        chars += len(r.text)
-        if chars <= FIT_CHARS:
-            rows.append((r.text, r.toxic))
-    return fit(rows)
+    texts = texts.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+    texts = materialise(texts, "fit-texts")
+    keys, size = ["toxic", "h", "doc_id", "t"], 0
+    # rows that repeat a doc_id leave a label no more than FIT_DOCS texts; their lengths come to the driver before them
+    lengths = [r for label in (0, 1) for r in texts.filter(F.col("toxic") == label).select(*keys, "n").distinct().orderBy(*keys).limit(FIT_DOCS).collect()]
+    taken = []
+    for r in sorted(lengths, key=lambda r: (r.h, r.doc_id, r.t, r.toxic)):
+        if size + r.n <= FIT_CHARS:
+            size += r.n
+            taken.append(tuple(r)[:4])
+    if not taken:
+        return fit([])
+    accepted = docs.sparkSession.createDataFrame(taken, texts.select(*keys).schema)
+    rows = texts.join(F.broadcast(accepted), keys, "left_semi").dropDuplicates(keys).collect()
+    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.t, r.toxic))])
 
 
 def score_docs(docs: DataFrame, model: Model) -> DataFrame:

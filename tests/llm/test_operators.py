@@ -171,6 +171,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_docs(docs, empty).filter("predicted = 1").count() == 0
 
 
+def test_fit_passes_over_a_text_too_long(spark, monkeypatch):
+    data = [(i, f"{'vileword' if i % 2 else 'lorem'} number{i}. ipsum", i % 2) for i in range(60)]
+    df = spark.createDataFrame([(-1, "x" * 5000, 1), *data], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(rows))
+    monkeypatch.setattr(toxicity, "FIT_CHARS", sum(len(t) for _, t, _ in data) // 2)
+    monkeypatch.setattr(toxicity, "held_out", lambda doc_id: F.lit(False))
+    toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    size, want = 0, []
+    for r in df.orderBy(F.xxhash64("doc_id")).collect():
+        if size + len(r.text) <= toxicity.FIT_CHARS:
+            size += len(r.text)
+            want.append((r.text, r.toxic))
+    assert seen == [want] and len(want) > 25
+
+
 def test_noisy_or():
     model = toxicity.Model({"bad$": 9.0}, -8.0)
     p = 1 / (1 + np.exp(-1.0))
