@@ -56,6 +56,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of their own for rows, `__row`: doc_ids may be null or repeat."""
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def attach_by_key(facts: DataFrame, dims: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of facts with dims (one row a key; `size`: the key's rows in facts).
 

@@ -20,8 +20,8 @@ from .common import ascii_lower, attach_by_key, materialise, ship
 BUCKET_KEYS = 8192
 _GAMMA, _LEVELS = 1.5, 128
 
-_INDEX = "bucket int, level_sizes array<int>, bits binary, digests binary, winners array<long>, copies array<long>"
-_MERGED = "digest binary, keep_id long, group_size long, slot int, member boolean"
+_INDEX = "bucket int, level_sizes array<int>, bits binary, digests binary, winners array<long>, named array<boolean>, copies array<long>"
+_MERGED = "digest binary, keep_id long, named boolean, group_size long, slot int, member boolean"
 
 
 def digest_of(text: Column) -> Column:
@@ -73,12 +73,12 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.iloc[order]
     return pd.DataFrame({
         "bucket": [pdf.bucket.iloc[0]], "level_sizes": [[len(x) for x in levels]], "bits": [np.packbits(np.concatenate(levels)).tobytes()],
-        "digests": [b"".join(pdf.digest)], "winners": [pdf.last_id.tolist()], "copies": [pdf.n.tolist()],
+        "digests": [b"".join(pdf.digest)], "winners": [pdf.last_id.tolist()], "named": [pdf.named.tolist()], "copies": [pdf.n.tolist()],
     })
 
 
 def build_index(history: DataFrame) -> DataFrame:
-    """history: bucket, digest (distinct), last_id, n. One row a bucket."""
+    """history: bucket, digest (distinct), last_id, named, n. One row a bucket."""
     return history.groupBy("bucket").applyInPandas(_build, _INDEX)
 
 
@@ -90,7 +90,7 @@ def _merge(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         cuts = np.cumsum(row.level_sizes)
         bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), count=int(cuts[-1])).astype(bool)
         digests = np.frombuffer(row.digests, dtype="V32")
-        last, n = np.array(row.winners, np.int64), np.array(row.copies, np.int64)
+        last, named, n = np.array(row.winners, np.int64), np.array(row.named, bool), np.array(row.copies, np.int64)
         if len(new):
             slots = find_slots(np.split(bits, cuts[:-1]), *_halves(new.digest))
             asked = np.frombuffer(b"".join(new.digest), dtype="V32")
@@ -98,22 +98,26 @@ def _merge(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             found = slots >= 0
             at = slots[found]
             last[at] = np.maximum(last[at], new.last_id.to_numpy(np.int64)[found])
+            named[at] |= new.named.to_numpy(bool)[found]
             n[at] += new.n.to_numpy(np.int64)[found]
-        parts.append(pd.DataFrame({"digest": [d.tobytes() for d in digests], "keep_id": last, "group_size": n, "slot": np.arange(len(n)), "member": True}))
+        parts.append(pd.DataFrame({"digest": [d.tobytes() for d in digests], "keep_id": last, "named": named, "group_size": n, "slot": np.arange(len(n)), "member": True}))
     other = new[slots < 0] if len(new) else new
-    parts.append(pd.DataFrame({"digest": other.digest, "keep_id": other.last_id, "group_size": other.n, "slot": -1, "member": False}))
+    parts.append(pd.DataFrame({"digest": other.digest, "keep_id": other.last_id, "named": other.named, "group_size": other.n, "slot": -1, "member": False}))
     return pd.concat(parts, ignore_index=True)
 
 
 def merge_lookup(index: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a distinct digest of either side: digest, keep_id (largest id), group_size, slot (-1: none), member."""
+    """One row a distinct digest of either side: digest, keep_id (largest id; named: there is one), group_size, slot (-1: none), member."""
     return index.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(_merge, _MERGED)
 
 
 def distinct_digests(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows: doc_id, digest. Copies are counted before the shuffle, so a text that fills a third of the table is a row a task."""
+    """rows: doc_id, digest. Copies are counted before the shuffle, so a text that fills a third of the table is a row a task.
+
+    last_id is the least long where no row of the digest has an id (`named` is false): the pandas side has no null longs.
+    """
     bucket = (F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % buckets).cast("int")
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
+    return rows.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("last_id"), (F.count("doc_id") > 0).alias("named"), F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
 
 
 def exact_groups(docs: DataFrame, history: Column | None = None) -> DataFrame:
@@ -121,17 +125,20 @@ def exact_groups(docs: DataFrame, history: Column | None = None) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; null is empty. The largest doc_id of a group stays.
     history: which rows are the historical ones whose digests the index holds; by default the lower half of the
-    range of ids. The result doesn't depend on it. doc_ids are not null; rows that repeat a doc_id and its text get
-    the same verdict. An empty table gives an empty one; other columns are not read.
+    range of ids. The result doesn't depend on it. Rows of a null doc_id are in their text's group and have a null
+    `kept`; where a group has no other, keep_id is null. Rows that repeat a doc_id and its text get the same verdict.
+    An empty table gives an empty one; other columns are not read.
     """
     ship(docs.sparkSession)
     rows = materialise(docs.select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
     total, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     old = F.col("doc_id") < F.lit(((low or 0) + (high or 0)) // 2) if history is None else history
+    old = F.coalesce(old, F.lit(False))
     buckets = 2 ** max(0, math.ceil(math.log2(max(1, total) / BUCKET_KEYS)))
     index = materialise(build_index(distinct_digests(rows.filter(old), buckets)), "mph")
     new = distinct_digests(rows.filter(~old), buckets)
-    groups = materialise(merge_lookup(index, new), "groups")
+    groups = merge_lookup(index, new).withColumn("keep_id", F.when(F.col("named"), F.col("keep_id")))
+    groups = materialise(groups, "groups")
     return attach_by_key(rows, groups, "digest", "group_size", total).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), "slot", F.col("member").alias("in_history"),
@@ -139,6 +146,11 @@ def exact_groups(docs: DataFrame, history: Column | None = None) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all their columns. Of rows that repeat a doc_id and its text, one stays."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each text, all its columns: a row of the largest doc_id, or of a null one if there is no other.
+
+    The row is found again by its text and id, so different texts that share a doc_id all stay.
+    """
+    name = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("string"))
+    kept = exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(name(F.col("text_sha256")).alias("__name"))
+    named = docs.withColumn("__name", name(F.lower(F.hex(digest_of(F.col("text"))))))
+    return named.join(kept, "__name", "left_semi").dropDuplicates(["__name"]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, blocks_for, hash32, materialise, prefix_sums
+from .common import attach_by_key, blocks_for, hash32, materialise, numbered, prefix_sums
 
 #: Weights of the sources in code-point order, repeating; and the mix's size as a fraction of all sizes.
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST_COPIES = (3, 1, 2), 3, 2, 2
@@ -76,20 +76,26 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     """Copies of every row of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
     size: words of the text, 0 for null. An empty document is expected like the others and takes nothing. Sources
-    with no words have a target of 0. doc_ids are not null; rows that repeat one are sampled each on its own. An
-    empty table gives an empty one; other columns are not read.
+    with no words have a target of 0. Rows of a null or repeated doc_id are sampled each on its own. An empty table
+    gives an empty one; other columns are not read.
     """
-    rows = materialise(docs.select("doc_id", "source", _key().alias("key"), n_words(F.col("text")).alias("size")), "sizes")
+    return _plan(docs)
+
+
+def _plan(docs: DataFrame, *keys: str) -> DataFrame:
+    """mix_plan with further columns of docs."""
+    rows = materialise(docs.select("doc_id", *keys, "source", _key().alias("key"), n_words(F.col("text")).alias("size")), "sizes")
     sizes = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = materialise(source_targets(sizes).select("key", "n_docs", "source_size", "target"), "targets")
     total = rows.count()
     joined = attach_by_key(rows, targets, "key", "n_docs", total)
     expected = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") * UNIT / F.col("source_size") + 0.5)).cast("long")
     out = systematic_copies(joined.withColumn("expected", expected), total)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", *keys, "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, all their columns."""
-    plan = mix_plan(docs).filter("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
-    return docs.join(plan, "doc_id").select(*[docs[c] for c in docs.columns])
+    rows = numbered(docs)
+    plan = _plan(rows, "__row").filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
+    return rows.join(plan, "__row").select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, materialise, ship
+from .common import attach_by_key, materialise, numbered, ship
 
 #: Coordinates of a sketch, and coordinates of a band. At a similarity of 0.8 a pair shares none of the 32 bands once
 #: in 20 million pairs.
@@ -344,5 +344,12 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_repeats(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which no smaller doc_id is a near duplicate, all their columns."""
-    return docs.join(link(docs, k, percent).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """One row of each near-duplicate group of docs, all its columns: the one of the smallest doc_id, nulls last.
+
+    Every row is linked on its own, also those of a null or repeated doc_id.
+    """
+    rows = numbered(docs)
+    links = link(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    kept = links.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    return rows.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)

@@ -348,6 +348,25 @@ def test_sketch_estimates():
     assert near_dups.differing_bits(*bits) <= len(np.setxor1d(a, b))
 
 
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    t = [text(rng, 60) for _ in range(6)]
+    near = t[5] + " more"
+    rows = [(None, t[0], "a"), (None, t[1], "a"), (7, t[1], "a"), (9, t[2], "b"), (9, t[3], "b"), (9, t[3], "b"), (None, t[4], "b"), (None, t[4], "b"), (2**62 + 1, t[5], "a"), (None, near, "a"), (None, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    groups = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+    assert groups == Counter([(None, None, 1, None)] * 3 + [(None, 7, 2, None), (7, 7, 2, True), (9, 9, 1, True)] + [(9, 9, 2, True)] * 2 + [(None, None, 2, None)] * 2 + [(2**62 + 1, 2**62 + 1, 1, True)])
+    once = exact_dedup.drop_repeats(df)
+    want = [(None, t[0]), (7, t[1]), (9, t[2]), (9, t[3]), (None, t[4]), (2**62 + 1, t[5]), (None, near), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter(want) and once.columns == df.columns
+    want.remove((None, near))
+    assert Counter((r.doc_id, r.text) for r in near_dups.drop_near_repeats(once).collect()) == Counter(want)
+    plan = Counter()
+    for r in mixing.mix_plan(df).collect():
+        plan[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.mixed(df).collect()) == +plan and plan[None] > 0 and plan[9] > 0
+
+
 def test_hot_keys_and_prefix_sums(spark):
     facts = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     dims = facts.groupBy("k").agg(F.count("*").alias("n"))
