@@ -63,14 +63,19 @@ class Model:
         return found
 
     def score(self, text: str | None) -> tuple[float, str | None]:
-        """Noisy-or over the sentences, and the worst sentence if it's more likely toxic than not."""
-        if not text:
+        """Noisy-or over the sentences with a feature, and the worst of them if it's more likely toxic than not.
+
+        Others add nothing: the bias of many clean sentences is no evidence, however long the text.
+        """
+        if not text or not any(map(self.weight, set(_WORD.findall(text.lower())))):
+            return 0.0, None
+        each = []
+        for s in _SENTENCE.split(text):
+            own = list(map(self.weight, set(_WORD.findall(s.lower()))))
+            if any(own):
+                each.append((s.strip(), _logistic(self.bias + sum(own))))
+        if not each:
             return 0.0, None
-        low = text.lower()
-        if not any(map(self.weight, set(_WORD.findall(low)))):
-            clean = sum(1 for s in _SENTENCE.split(low) if _WORD.search(s))
-            return float(-np.expm1(clean * np.log1p(-_logistic(self.bias)))), None
-        each = self.sentences(text)
         worst = max(each, key=lambda x: x[1])
         return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, p in each))), worst[0] if worst[1] >= 0.5 else None
 

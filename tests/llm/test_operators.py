@@ -193,6 +193,12 @@ def test_noisy_or():
     assert model.score("so bad. bad!")[0] == pytest.approx(1 - (1 - p) ** 2) and model.score("so bad. fine")[1] == "so bad"
 
 
+def test_length_alone_is_not_toxic():
+    model = toxicity.Model({"bad$": 13.0}, toxicity.MOST_BIAS)
+    assert model.score("fine\n" * 130_000) == (0.0, None)
+    assert model.score("fine\n" * 130_000 + "so bad") == model.score("so bad")
+
+
 def test_warc(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("ab漢\r\n") for _ in range(200_000))
