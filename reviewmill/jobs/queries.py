@@ -480,8 +480,9 @@ def w5_w6_image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with j as (select page_id, '"hiRes":"https:\\/\\/img.example\\/' || page_id || '.jpg","x":1,"hiRes" : "http://no.example/a.jpg", "hiRes":"https://img.example/' || page_id || '.jpg","hiRes":"https://b.example/?a=1\\u0026b=' || page_id || '"' as html from pages)
 select page_id, '[https://img.example/' || page_id || '.jpg, https://b.example/?a=1&b=' || page_id || ']' as urls from j""")
 def sc22_hires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored page with entries after it, so that its whole text is searched."""
     p = F.col("page_id").cast("string")
-    html = F.concat(F.lit('"hiRes":"https:\\/\\/img.example\\/'), p, F.lit('.jpg","x":1,"hiRes" : "http://no.example/a.jpg", "hiRes":"https://img.example/'), p, F.lit('.jpg","hiRes":"https://b.example/?a=1\\u0026b='), p, F.lit('"'))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('"hiRes":"https:\\/\\/img.example\\/'), p, F.lit('.jpg","x":1,"hiRes" : "http://no.example/a.jpg", "hiRes":"https://img.example/'), p, F.lit('.jpg","hiRes":"https://b.example/?a=1\\u0026b='), p, F.lit('"'))
     found = urls.hires_urls(html)
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("urls"))
 

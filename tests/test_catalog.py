@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.functions import urls
+from reviewmill.jobs.queries import QUERIES
 from reviewmill.operators import images, ledger, pages, requests
 from reviewmill.sources import tables
 from reviewmill.streaming.logs import read_snapshot, request_windows, upsert_stream
@@ -114,3 +115,11 @@ def test_rate_audit(spark):
     log = spark.sql("select 'h' host, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * 10) created_at from range(30)")
     got = requests.over_limit(log, "host", most=6, seconds=60).orderBy("created_at").collect()
     assert [r.in_span for r in got] == [min(i + 1, 7) for i in range(30)] and sum(r.over for r in got) == 24
+
+
+def test_hires_reads_the_page(spark, tmp_path):
+    pages_of = [(1, '<p>"hiRes":"https://img.example/stored.jpg"</p>'), (2, None)]
+    spark.createDataFrame(pages_of, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.urls for r in QUERIES["sc22_hires"](spark, str(tmp_path)).collect()}
+    assert got[1] == "[https://img.example/stored.jpg, https://img.example/1.jpg, https://b.example/?a=1&b=1]"
+    assert got[2] == "[https://img.example/2.jpg, https://b.example/?a=1&b=2]"
