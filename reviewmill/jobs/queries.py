@@ -370,7 +370,8 @@ def a16_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ctes('downloads')} select asin, count(*) as total, count(*) filter (status = 'success') as success, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, coalesce(string_agg(coalesce(error_message, 'Unknown error'), '; ' order by coalesce(error_message, 'Unknown error')) filter (status = 'failed'), '') as errors from downloads group by 1")
 def a17_download_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.download_results(bound(spark, sf_dir, "downloads")).withColumn("errors", F.array_join("errors", "; "))
+    copies = F.transform("errors", lambda e: F.array_repeat(e["message"], e["copies"].cast("int")))
+    return ledger.download_results(bound(spark, sf_dir, "downloads")).withColumn("errors", F.array_join(F.flatten(copies), "; "))
 
 
 @query(f"with {ctes('downloads')} select asin, count(*) as total, count(*) filter (status = 'failed') as failed from downloads group by 1 having count(*) filter (status = 'failed') > 0")
@@ -473,8 +474,7 @@ f as (select *, row_number() over (partition by asin, image_url order by pos) as
 select asin, image_url, row_number() over (partition by asin order by pos)::int as idx, asin || '_' || lpad(cast(row_number() over (partition by asin order by pos) as string), 2, '0') || '.jpg' as file_name from f where copy = 1""")
 def w5_w6_image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first nine images of each product, numbered: the list stays in its product's row."""
-    lists = bound(spark, sf_dir, "downloads").groupBy("asin").agg(F.array_sort(F.collect_set("image_url")).alias("found"))
-    return images.image_rows(lists, "found", 9)
+    return images.image_rows(images.first_urls(bound(spark, sf_dir, "downloads"), 9), "found", 9)
 
 
 @query("""with j as (select page_id, '"hiRes":"https:\\/\\/img.example\\/' || page_id || '.jpg","x":1,"hiRes" : "http://no.example/a.jpg", "hiRes":"https://img.example/' || page_id || '.jpg","hiRes":"https://b.example/?a=1\\u0026b=' || page_id || '"' as html from pages)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -15,6 +15,8 @@ from ..sources.session import ship
 
 #: Extensions of image files, and the least width and height of a valid image.
 EXTENSIONS, LEAST_SIDE = ["jpg", "jpeg", "png", "webp"], 100
+#: Parts of a product's urls that are ranked apart before they are ranked together.
+URL_PARTS = 64
 
 
 def candidate_urls(hires: Column, detail: Column, page: Column, strict: bool = True) -> Column:
@@ -35,6 +37,14 @@ def chosen_urls(found: Column, most: int) -> Column:
     return F.transform(first, lambda x: x["url"])
 
 
+def first_urls(downloads: DataFrame, most: int) -> DataFrame:
+    """The first `most` different urls of each product in order: asin, found. No list is longer, whatever a product's rows."""
+    rows = downloads.filter("image_url is not null").select("asin", "image_url").distinct().withColumn("part", F.pmod(F.hash("image_url"), F.lit(URL_PARTS)))
+    for keys in (["asin", "part"], ["asin"]):
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("image_url"))).filter(F.col("nth") <= most)
+    return rows.groupBy("asin").agg(F.array_sort(F.collect_list("image_url")).alias("found"))
+
+
 def image_rows(products: DataFrame, found: str, most: int) -> DataFrame:
     """A row for each chosen image: asin, image_url, idx (from 1), file_name. The list stays in its row until here."""
     rows = products.select("asin", F.posexplode(chosen_urls(F.col(found), most)).alias("at", "image_url"))

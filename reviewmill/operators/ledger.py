@@ -106,10 +106,13 @@ def latest_failures(downloads: DataFrame, n: int = 20) -> DataFrame:
 
 
 def download_results(downloads: DataFrame) -> DataFrame:
-    """One row a product: total, success, failed, skipped and the sorted error texts."""
-    of = lambda s: F.count_if(F.col("status") == s)
-    errors = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.coalesce("error_message", F.lit("Unknown error")))))
-    return downloads.groupBy("asin").agg(F.count(F.lit(1)).alias("total"), of("success").alias("success"), of("failed").alias("failed"), of("skipped").alias("skipped"), errors.alias("errors"))
+    """One row a product: total, success, failed, skipped and the sorted error texts (message, copies), each text once."""
+    counts = ("total", "success", "failed", "skipped")
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    message = F.when(F.col("status") == "failed", F.coalesce("error_message", F.lit("Unknown error"))).alias("message")
+    texts = downloads.groupBy("asin", message).agg(F.count(F.lit(1)).alias("total"), *[of(s) for s in counts[1:]])
+    error = F.when(F.col("message").isNotNull(), F.struct("message", F.col("failed").alias("copies")))
+    return texts.groupBy("asin").agg(*[F.sum(c).alias(c) for c in counts], F.array_sort(F.collect_list(error)).alias("errors"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -123,3 +123,12 @@ def test_hires_reads_the_page(spark, tmp_path):
     got = {r.page_id: r.urls for r in QUERIES["sc22_hires"](spark, str(tmp_path)).collect()}
     assert got[1] == "[https://img.example/stored.jpg, https://img.example/1.jpg, https://b.example/?a=1&b=1]"
     assert got[2] == "[https://img.example/2.jpg, https://b.example/?a=1&b=2]"
+
+
+def test_lists_of_a_large_product(spark):
+    rows = spark.range(3000).selectExpr("'p' as asin", "concat('u', lpad(id % 1500, 4, '0')) as image_url", "if(id < 2000, 'failed', 'success') as status", "if(id % 2 = 0, 'late', null) as error_message")
+    rows = rows.unionByName(spark.sql("select 'q' as asin, cast(null as string) as image_url, 'skipped' as status, 'late' as error_message"))
+    assert [(r.asin, r.found) for r in images.first_urls(rows, 9).collect()] == [("p", [f"u{i:04}" for i in range(9)])]
+    p, q = ledger.download_results(rows).orderBy("asin").collect()
+    assert (p.total, p.success, p.failed, p.skipped, [tuple(e) for e in p.errors]) == (3000, 1000, 2000, 0, [("Unknown error", 1000), ("late", 1000)])
+    assert (q.total, q.success, q.failed, q.skipped, q.errors) == (1, 0, 0, 1, [])
