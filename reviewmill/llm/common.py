@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import ship  # noqa: F401  the operators take it from here
 
-#: Keys with more than 1/HOT_KEYS of all rows: there are fewer than HOT_KEYS of them, so they can be broadcast.
-HOT_KEYS = 4096
+#: Keys with more than 1/HOT_KEYS of all rows: there are fewer than HOT_KEYS of them. Parts that each is dealt to.
+HOT_KEYS, HOT_PARTS = 4096, 64
 #: Rows of one block in prefix_sums().
 BLOCK_ROWS = 2000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _scratch: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path := f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -56,23 +59,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str, spent: DataFrame | None = None) -> DataFrame:
+    """materialise(build()), after which the tables that build() has left in the shared folder go, and a spent one."""
+    own = len(_made)
+    out = materialise(build(), label)
+    gone = [p for p in _made[own:] if not p.startswith(_made[-1])] + [p for p in _made[:own] if spent is not None and any(f.startswith(p) for f in spent.inputFiles())]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+    return out
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a key of their own for rows, `__row`: doc_ids may be null or repeat."""
     return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
 def attach_by_key(facts: DataFrame, dims: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of facts with dims (one row a key; `size`: the key's rows in facts).
+    """Inner join of facts with dims (one row a key; `size`: the key's rows in facts), without a task for a hot key.
 
-    Keys above total / HOT_KEYS rows are fewer than HOT_KEYS, whatever the input: their dims rows are broadcast, so
-    a key that holds a third of all rows is never dealt to one task. All others meet in an ordinary shuffled join.
-    facts and dims are read twice and should be materialised.
+    Keys above total / HOT_KEYS rows are fewer than HOT_KEYS, whatever the input. Their facts are dealt to HOT_PARTS
+    parts by a hash of the row, and their dims row is copied to each part. All others have one part. dims are read
+    twice and should be materialised; facts have no map columns.
     """
-    hot = F.col(size) > max(1, -(-total // HOT_KEYS))
-    some = dims.filter(hot)
-    return facts.join(F.broadcast(some), key).unionByName(
-        facts.join(F.broadcast(some.select(key)), key, "left_anti").join(dims.filter(~hot), key)
-    )
+    hot = [r[0] for r in dims.filter(F.col(size) > max(1, -(-total // HOT_KEYS))).select(key).limit(HOT_KEYS).collect()]
+    parts = F.when(F.col(key).isin(hot), HOT_PARTS).otherwise(1) if hot else F.lit(1)
+    salted = facts.withColumn("__part", F.pmod(F.xxhash64(*facts.columns), parts).cast("int"))
+    dealt = dims.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(dealt, [key, "__part"]).drop("__part")
 
 
 def blocks_for(total: int) -> int:
