@@ -1,10 +1,15 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A BPE model's pieces are a transducer from characters to ids. Its states remember the piece that was read last, and
-an arc from piece a to piece b has weight 0 if the model would leave the text a + b as these two pieces and infinity
-if it would merge across them. A sequence of pieces is the model's own encoding of its text exactly if every two
-neighbours are left alone, so the one path of finite weight through the composition with a text, which is its
-tropical shortest path, is the encoding. Characters that no piece covers go over byte arcs.
+Compiled from a model file: the normaliser (a space is written as SPACE, one is put before the text) is composed with
+the pieces, so the machine's arcs read raw characters and write ids; a character that no piece covers goes over an arc
+that writes its bytes. Composed with a text, it is a lattice whose places are those in the text, and the encoding is
+the path of least weight: the tropical semiring's shortest path, found place by place.
+
+A Unigram model's arcs weigh their pieces' negative log probabilities. A BPE model's scores are ranks of merges, no
+weights of a path. Its machine remembers the piece that it has written last, and going on from piece a to piece b
+weighs 0 if the model leaves the text a + b as these two pieces, and infinity if it would merge across them. Every two
+neighbours of a sequence are left alone just if the sequence is the model's own encoding of its text, so the shortest
+path weighs 0 and is the only one that does. The pairs' weights are expanded when a text first asks for them.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from .common import ship
 SPACE = "▁"
 #: Entries of a worker's memory of encoded words. When it is full it becomes the old one, from which words in use come back.
 MEMORY = 300_000
-_SINGLE = (1,)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -53,63 +57,94 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+#: Fixed values of the file format: kinds of models and of pieces.
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: What a character without a piece weighs beyond the least likely piece of a Unigram model.
+UNKNOWN_WEIGHT = 10.0
+#: No piece: the state at the start and after bytes, where nothing written before matters.
+FREE = -1
+_INFINITE = float("inf")
+
+
 @dataclass
-class Normaliser:
-    """The part of a model's normaliser that is supported: no character map; a space is put in front of the text."""
+class Model:
+    """What a model file holds: its kind, its pieces (text, score, kind), and whether a space is put before a text."""
 
+    kind: int
+    pieces: list[tuple[str, float, int]]
     prefix: bool
 
-    def __call__(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
     @classmethod
-    def of(cls, model: bytes) -> Normaliser:
-        spec = dict(_fields(next(v for k, v in _fields(model) if k == 3)))
-        if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
-            raise ValueError("the model's normaliser maps characters or drops spaces")
-        return cls(bool(spec.get(3, 1)))
+    def read(cls, file: str) -> Model:
+        pieces, trainer, normaliser = [], {}, {}
+        with open(file, "rb") as f:
+            for k, v in _fields(f.read()):
+                if k == 1:
+                    own = dict(_fields(v))
+                    pieces.append((own[1].decode(), struct.unpack("<f", own.get(2, bytes(4)))[0], own.get(3, NORMAL)))
+                elif k == 2:
+                    trainer |= dict(_fields(v))
+                elif k == 3:
+                    normaliser |= dict(_fields(v))
+        kind = trainer.get(3, UNIGRAM)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("neither a Unigram nor a BPE model")
+        if {k for _, _, k in pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
+            raise ValueError("the model has pieces of the user's or unused ones")
+        if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("the model's normaliser maps characters or drops spaces, or spaces end its words")
+        return cls(kind, pieces, bool(normaliser.get(3, 1)))
 
 
 class Transducer:
-    """Normaliser, pieces and byte fallback of a BPE model, compiled for composition with texts."""
+    """A model, compiled for composition with texts."""
 
     def __init__(self, file: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=file)
-        with open(file, "rb") as f:
-            self.normalise = Normaliser.of(f.read())
-        self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        kinds = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) for i in range(len(self.names))]
-        self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.names) if model.is_byte(i)}
+        model = Model.read(file)
+        self.bpe, self.prefix = model.kind == BPE, model.prefix
+        self.names = [p for p, _, _ in model.pieces]
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
-        self.ids = {p: i for i, p in enumerate(self.names) if not kinds[i]}
-        self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
-        # a piece that the model never makes of its own text is on no path
-        self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
-        sizes: dict[str, set[int]] = {}
-        for p in self.arcs:
-            if len(p) > 1:
-                sizes.setdefault(p[:2], {1}).add(len(p))
-        #: sizes of the pieces that start with two characters, long ones first
-        self.starts = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
-        self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
+        self.scores = {p: score for p, score, kind in model.pieces if kind == NORMAL}
+        ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
+        # a piece that a BPE model never makes of its own text is on no path
+        used = {p: i for p, i in ids.items() if not self.bpe or len(p) == 1 or self.merge(p) == [p]}
+        # in single precision, as the models' own library adds them up: near ties fall alike
+        self.weights = {i: np.float32(0 if self.bpe else -self.scores[p]) for p, i in used.items()}
+        self.unknown = 0.0 if self.bpe else np.float32(UNKNOWN_WEIGHT) - np.float32(min(self.scores.values(), default=0.0))
+        self.left_alone: dict[tuple[int, int], float] = {}
+        #: the compiled machine: arcs of each state by raw character, and the piece that ends there (FREE: none)
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends = [FREE]
+        for p, i in used.items():
+            at = 0
+            for c in p:
+                if c not in self.arcs[at]:
+                    self.arcs.append({})
+                    self.ends.append(FREE)
+                    self.arcs[at][c] = len(self.arcs) - 1
+                    if c == SPACE:  # the normaliser's arc
+                        self.arcs[at][" "] = len(self.arcs) - 1
+                at = self.arcs[at][c]
+            self.ends[at] = i
+        self.inner = {p[i : i + 2] for p in used for i in range(len(p) - 1)}
         if any(x[1] == SPACE != x[0] for x in self.inner):
             raise ValueError("a piece holds a space after another character")
+        self.inner |= {x.replace(SPACE, " ") for x in self.inner} | {x.replace(SPACE, " ", 1) for x in self.inner} | {x[0] + x[1].replace(SPACE, " ") for x in self.inner}
         # letters and digits part from all else where no piece joins them; characters of pieces that do are no letters here
-        crossing = {c for x in self.inner for c, d in (x, x[::-1]) if c.isalnum() and not d.isalnum() and d != SPACE}
+        crossing = {c for x in self.inner for c, d in (x, x[::-1]) if c.isalnum() and not d.isalnum() and d not in (SPACE, " ")}
         joined = any((x[0] in crossing) != (x[1] in crossing) and x[0].isalnum() and x[1].isalnum() for x in self.inner)
         letter = f"[^\\W_{re.escape(''.join(sorted(crossing)))}]"
-        other = f"(?:(?!{letter})[^{SPACE}])"
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if joined else f"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+")
-        self.left_alone: dict[tuple[str, str], bool] = {}
+        space, other = f"[ {SPACE}]", f"(?:(?!{letter})[^ {SPACE}])"
+        self.words = re.compile(f"{space}*[^ {SPACE}]+|{space}+" if joined else f"{space}*{letter}+|{space}*{other}+|{space}+")
         self.known = _Known(self)
         self.shown = [p.replace(SPACE, " ") for p in self.names]
 
     def merge(self, text: str) -> list[str]:
-        """The model's merges, on a text of two pieces or one: the best pair first, the leftmost of equals."""
+        """A BPE model's merges, on a text of two pieces or one: the best pair first, the leftmost of equals."""
         parts = list(text)
         while len(parts) > 1:
             best = None
@@ -123,51 +158,62 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def free(self, a: str, b: str) -> bool:
-        """Whether the arc from a to b has weight 0."""
+    def between(self, a: int, b: int) -> float:
+        """Weight of going on from piece a to piece b, in a BPE model."""
         if len(self.left_alone) > MEMORY:
             self.left_alone.clear()
-        ok = self.left_alone[a, b] = self.merge(a + b) == [a, b]
-        return ok
+        x, y = self.names[a], self.names[b]
+        weight = self.left_alone[a, b] = 0.0 if self.merge(x + y) == [x, y] else _INFINITE
+        return weight
 
-    def shortest(self, text: str) -> list[str]:
-        """Pieces on the path of weight 0 through the composition with a text.
+    def shortest(self, text: str) -> list[int]:
+        """Ids on the shortest path through the composition with a text.
 
-        The search goes depth first, long pieces first. Only one path of weight 0 leads to any place in the text (its
-        pieces are the encoding of what is before it), so a place from which the search came back is dead for good,
-        and every place is left once at most.
+        Places are taken in order, so all paths to one are known when it is reached, and it keeps the lightest: of
+        equals, the one whose last piece is the longest. A Unigram model's machine has one state at every place. A
+        BPE model's has one that any finite path leads to (the encoding of what is before it, of weight 0), and a
+        place that has been reached with 0 needs no other path.
         """
-        n, arcs, starts, known, free = len(text), self.arcs, self.starts, self.left_alone.get, self.free
-        dead = bytearray(n + 1)
-        path: list[str] = []
-        waiting = [iter(starts.get(text[:2], _SINGLE))]
-        at = 0
-        while at < n:
-            last = path[-1] if path else None
-            for size in waiting[-1]:
-                end = at + size
-                if end > n or dead[end]:
+        n, arcs, ends, bpe, known = len(text), self.arcs, self.ends, self.bpe, self.left_alone.get
+        least, start, last = [_INFINITE] * (n + 1), [0] * (n + 1), [FREE] * (n + 1)
+        least[0] = 0.0 if bpe else np.float32(0)
+        for at in range(n):
+            if (so_far := least[at]) == _INFINITE:
+                continue
+            state, end, before, single = arcs[0], at, last[at], False
+            while end < n and (number := state.get(text[end])):
+                state, piece = arcs[number], ends[number]
+                end += 1
+                if piece == FREE:
                     continue
-                piece = text[at:end]
-                if size > 1 and piece not in arcs:
+                single |= end == at + 1
+                if not bpe:
+                    weight = so_far + self.weights[piece]
+                elif least[end] == 0.0:
                     continue
-                if last is None or ((ok := known((last, piece))) or ok is None and free(last, piece)):
-                    path.append(piece)
-                    at = end
-                    waiting.append(iter(starts.get(text[at : at + 2], _SINGLE)))
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no path of finite weight through {text[:60]!r}")
-                dead[at] = 1
-                waiting.pop()
-                at -= len(path.pop())
-        return path
+                elif before == FREE:
+                    weight = so_far
+                else:
+                    weight = so_far + (self.between(before, piece) if (pair := known((before, piece))) is None else pair)
+                if weight < least[end]:
+                    least[end], start[end], last[end] = weight, at, piece
+            if not single and so_far + self.unknown < least[at + 1]:
+                least[at + 1], start[at + 1], last[at + 1] = so_far + self.unknown, at, FREE
+        if least[n] == _INFINITE:
+            raise ValueError(f"no path of finite weight through {text[:60]!r}")
+        out, at = [], n
+        while at:
+            out.append([last[at]] if last[at] != FREE else [self.byte_ids[b] for b in text[start[at] : at].encode("utf-8", "replace")])
+            at = start[at]
+        return [i for own in reversed(out) for i in own]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(self.normalise(text)))), "<u4")
+        text = " " + text if self.prefix else text
+        if not self.bpe:
+            return np.array(self.shortest(text), np.uint32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         out: list[str] = []
@@ -185,7 +231,7 @@ class Transducer:
                     run.clear()
                 out.append(self.shown[i])
             text = "".join(out) + run.decode("utf-8", "replace")
-        return text[1:] if self.normalise.prefix and text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 class _Known(dict):
@@ -213,10 +259,7 @@ class _Known(dict):
         if cuts:
             out = b"".join([self[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
         else:
-            ids: list[int] = []
-            for p in t.shortest(text):
-                i = t.arcs.get(p)
-                ids += [i] if i is not None else [t.byte_ids[b] for b in p.encode("utf-8", "replace")]
+            ids = t.shortest(text)
             out = struct.pack(f"<{len(ids)}I", *ids)
         return self.keep(text, out)
 
