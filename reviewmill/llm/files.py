@@ -23,6 +23,12 @@ def open_random(uri: str):
     return store.open_input_file(path)
 
 
+def open_mapped(uri: str):
+    """A local file is mapped into memory, any other is read where it is asked for."""
+    store, path = fs.FileSystem.from_uri(uri)
+    return (fs.LocalFileSystem(use_mmap=True) if isinstance(store, fs.LocalFileSystem) else store).open_input_file(path)
+
+
 def open_stream(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_stream(path, compression=None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,12 +22,22 @@ SEQUENCE, BATCH = 2048, 64
 #: Entries of a worker's memory of pieces; beyond that it starts anew.
 MEMORY = 300_000
 
+# The one way of normalising and cutting for which there is a short cut, as a tokenizer file states it.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _LETTERS = r"a-z\u00df-\u00f6\u00f8-\u024f"
 #: Precomposed Latin letters that lower-casing leaves in _LETTERS: not, for one, U+018F, whose small letter is U+0259.
 _LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{_LETTERS}]", c.lower()))
 #: Texts of these characters only, precomposed Latin letters among them, need no normalising but lower-casing.
 _PLAIN = re.compile(rf"[\t-\r -~{_LATIN}]*")
-#: The tokenizer's own way of cutting such texts, after lower-casing.
+#: CUTTER's way of cutting such texts, after lower-casing.
 _CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t-\r ]+")
 
 
@@ -40,9 +51,10 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Encodes texts to the bytes of their ids.
 
-    The tokenizer drops white space and never looks past it, nor past the pieces that its pre-tokenizer makes. So
-    plain texts are cut into those pieces, and each piece is encoded by its model once and remembered. Words with
-    any other character, or with a special token, go through all of it.
+    A tokenizer with NORMALISER and CUTTER drops white space and never looks past it, nor past the pieces that it
+    cuts. So plain texts are cut into those pieces, and each piece is encoded by the tokenizer's model once and
+    remembered. Words with any other character, or with a special token, go through all of it. Texts for any other
+    tokenizer go through it whole.
     """
 
     def __init__(self, file: str):
@@ -50,6 +62,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
+        told = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in told["added_tokens"]]
+        self.cuts = told["normalizer"] == NORMALISER and told["pre_tokenizer"] == CUTTER and all(t.startswith("<|") and not re.search(r"\s", t) for t in special)
         self.pieces = _Pieces(self)
 
     def bytes(self, ids: list[int]) -> bytes:
@@ -61,6 +76,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.cuts:
+            return self.bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return self.plain(text)
         words = re.findall(r"[^\t-\r ]+", text)
@@ -99,14 +116,14 @@ def encoder(file: str) -> Encoder:
 class SequenceWriter:
     """Writes documents' ids one after another into an Arrow file of fixed-size lists.
 
-    Columns: ids and mask, lists of SEQUENCE (the mask is false where the last sequence is padded), and ends: the
+    Columns: ids and mask, lists of SEQUENCE (the mask is 1, and 0 where the last sequence is padded), and ends: the
     documents that end in the sequence, with the place after their last id.
     """
 
     def __init__(self, uri: str, dtype: np.dtype):
         ids = pa.list_(pa.from_numpy_dtype(dtype), SEQUENCE)
         ends = pa.list_(pa.struct([("doc_id", pa.int64()), ("end", pa.int32())]))
-        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), SEQUENCE)), ("ends", ends)])
+        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.uint8(), SEQUENCE)), ("ends", ends)])
         self.sink, self.dtype = files.create(uri), dtype
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.waiting: list[bytes] = []
@@ -130,7 +147,7 @@ class SequenceWriter:
         for lo in range(0, whole, step):
             part = ids[lo : min(lo + step, whole)]
             rows = -(-len(part) // SEQUENCE)
-            mask = np.arange(rows * SEQUENCE) < len(part)
+            mask = (np.arange(rows * SEQUENCE) < len(part)).astype(np.uint8)
             part = np.pad(part, (0, rows * SEQUENCE - len(part)))
             start, own = self.flushed + lo, [[] for _ in range(rows)]
             while at < len(self.ends) and self.ends[at][1] <= start + len(part) and self.ends[at][1] > start:
@@ -153,10 +170,9 @@ class SequenceWriter:
 
 
 def read_sequence(uri: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of the k-th sequence of a file: one batch is looked up, its ids aren't copied."""
-    with files.open_random(uri) as source:
-        row = pa.ipc.open_file(source).get_batch(k // BATCH).slice(k % BATCH, 1)
-        return row.column(0).flatten().to_numpy(), row.column(1).flatten().to_numpy(zero_copy_only=False)
+    """Ids and mask of the k-th sequence of a file. One batch is looked up; of a local file, which is mapped, nothing is copied."""
+    row = pa.ipc.open_file(files.open_mapped(uri)).get_batch(k // BATCH).slice(k % BATCH, 1)
+    return row.column(0).flatten().to_numpy(), row.column(1).flatten().to_numpy()
 
 
 def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
@@ -167,7 +183,7 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
         for b in range(reader.num_record_batches):
             batch = reader.get_batch(b)
             ids = batch.column(0).flatten().to_numpy().astype("<u4")
-            used = int(np.count_nonzero(batch.column(1).flatten().to_numpy(zero_copy_only=False)))
+            used = int(np.count_nonzero(batch.column(1).flatten().to_numpy()))
             at = 0
             for row, ends in enumerate(batch.column(2).to_pylist()):
                 for e in ends:
