@@ -41,49 +41,60 @@ def _batches(rows: Iterator[tuple], most: int = 32) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _sized(pages: DataFrame) -> DataFrame:
+    """Pages with their payload, its size and digest, and `told`, a hash that tells records apart and finds them again."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
+    return sized.withColumn("told", F.xxhash64("page_id", "url", "payload_digest"))
+
+
 def decide_records(pages: DataFrame) -> DataFrame:
-    """Adds payload_bytes, payload_digest, record_type and refers_to to pages (page_id, url, html).
+    """The records of pages (page_id, url, html) that revisit another: told, page_id, payload_digest, refers_to.
 
     Of equal payloads of LEAST_REVISIT bytes or more, the smallest page_id is the response and the others revisit
-    it. Null html is empty. Rows with a null page_id are responses; so are all that share the smallest id. Only the
-    pairs of revisits are joined to the payloads.
+    it. Null html is empty. Rows with a null page_id are responses; so are all that share the smallest id.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    sized = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"),
-        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"),
-    )
-    rows = materialise(sized.filter(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest"), "payloads")
+    rows = _sized(pages).filter(F.col("payload_bytes") >= LEAST_REVISIT).select("told", "page_id", "payload_digest")
+    rows = materialise(rows, "payloads")
     groups = rows.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups = materialise(groups.filter("n > 1"), "payload-groups")
     again = attach_by_key(rows, groups, "payload_digest", "n", rows.count()).filter("page_id > refers_to")
-    again = again.select("page_id", F.col("payload_digest").alias("__digest"), "refers_to").dropDuplicates()
-    same = [sized["page_id"] == again["page_id"], sized["payload_digest"] == again["__digest"]]
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return sized.join(again, same, "left").select(sized["*"], kind.alias("record_type"), "refers_to")
+    return materialise(again.select("told", "page_id", "payload_digest", "refers_to").distinct(), "revisits")
 
 
-def chunk_records(records: DataFrame) -> DataFrame:
+def chunk_records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     """The table of chunks: a row for each CHUNK bytes of a payload, with the SHA-256 of all bytes so far.
 
-    An empty payload, and a revisit, has one empty chunk. A task holds a few chunks beside its input, and one
-    running digest, however long a record is.
+    Payloads are cut where they are read, so only chunks meet the revisits, which may be a shuffle, and only chunks
+    are sorted and go to Python: a record of any length streams through. An empty payload, and a revisit, has one
+    empty chunk. A record's chunks stay together and in order.
     """
-    ship(records.sparkSession)
+    ship(pages.sparkSession)
+    n = F.greatest(F.ceil(F.col("payload_bytes") / CHUNK), F.lit(1)).cast("int")
+    cut = _sized(pages).withColumn("row", F.monotonically_increasing_id()).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    cut = cut.select(
+        "told", "row", "page_id", "url", "payload_bytes", "payload_digest", "chunk_no",
+        (F.col("chunk_no") == n - 1).alias("last"), F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)).alias("data"),
+    )
+    again = revisits.select("told", F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "refers_to")
+    same = [cut["told"] == again["told"], cut["page_id"] == again["__page"], cut["payload_digest"] == again["__digest"]]
+    other = F.col("refers_to").isNotNull()
+    met = cut.join(again, same, "left").filter(~other | (F.col("chunk_no") == 0)).sortWithinPartitions(cut["told"], "row", "chunk_no")
+    met = met.select(
+        "page_id", "url", F.when(other, "revisit").otherwise("response").alias("record_type"), "refers_to", "payload_bytes", "payload_digest", "chunk_no",
+        (F.col("last") | other).alias("last"), F.when(other, F.lit(b"")).otherwise(F.col("data")).alias("data"),
+    )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        digest = hashlib.sha256()
         for batch in batches:
-            *heads, html = [batch.column(c) for c in ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html")]
-            html = html.cast(pa.binary())
-            for i, head in enumerate(zip(*[c.to_pylist() for c in heads])):
-                payload = memoryview(html[i].as_buffer()) if head[2] == "response" else memoryview(b"")
-                digest = hashlib.sha256()
-                for no, lo in enumerate(range(0, max(1, len(payload)), CHUNK)):
-                    data = payload[lo : lo + CHUNK]
-                    digest.update(data)
-                    yield *head, no, lo + CHUNK >= len(payload), bytes(data), digest.copy().hexdigest()
+            for *head, no, last, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if no == 0:
+                    digest = hashlib.sha256()
+                digest.update(data)
+                yield *head, no, last, data, digest.copy().hexdigest()
 
-    return records.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html").mapInArrow(lambda x: _batches(rows(x)), CHUNKS)
+    return met.mapInArrow(lambda x: _batches(rows(x)), CHUNKS)
 
 
 def _head(page_id, url, record_type, refers_to, payload_bytes, payload_digest) -> bytes:
@@ -206,7 +217,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     columns are not read.
     """
     ship(pages.sparkSession)
-    manifest = write_archives(chunk_records(decide_records(pages)), fresh_path(pages.sparkSession, "warc"))
+    manifest = write_archives(chunk_records(pages, decide_records(pages)), fresh_path(pages.sparkSession, "warc"))
     return read_archives(manifest).filter("last").select(
         "page_id", "payload_bytes", F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to"
     )
