@@ -128,24 +128,28 @@ def oracle() -> str:
     """The same in DuckDB's SQL, for documents."""
     values = ", ".join(f"({t}, {i}, '{a}', '{b}', {n}, '{label}', {str(base).lower()})" for t, i, a, b, n, label, base in template_grams())
     return rf"""
-with grams(tpl, tpos, a, b, n_grams, label, base) as (values {values}),
+with recursive grams(tpl, tpos, a, b, n_grams, label, base) as (values {values}),
 texts as (
   select row_number() over () as row, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from documents),
-rolled as (select row, pos, w[pos + 1] as a, w[pos + 2] as b from texts, unnest(range(greatest(len(w) - 1, 0))) as r(pos)),
-diagonals as (
-  select row, tpl, n_grams, label, base, pos - tpos as diagonal, count(*) as votes, min(pos) as start
-  from rolled join grams using (a, b) group by all),
+rolled as (select row, pos::bigint as pos, w[pos + 1] as a, w[pos + 2] as b from texts, unnest(range(greatest(len(w) - 1, 0))) as r(pos)),
+hits as (select row, tpl, n_grams, label, base, pos, tpos, pos - tpos as diagonal from rolled join grams using (a, b)),
 opened as (
-  select *, case when diagonal - lag(diagonal) over (partition by row, tpl order by diagonal) <= case when base then 0 else {GAP} end then 0 else 1 end as opens
-  from diagonals),
-numbered as (select *, sum(opens) over (partition by row, tpl order by diagonal) as span from opened),
+  select *, case when diagonal - lag(diagonal) over (partition by row, tpl order by diagonal, pos) <= case when base then 0 else {GAP} end then 0 else 1 end as opens
+  from hits),
+numbered as (select *, sum(opens) over (partition by row, tpl order by diagonal, pos rows between unbounded preceding and current row) as span from opened),
+-- readings of a notice: each position votes once, in the order of the text, on diagonals close to each other
+readings as (
+  select row, tpl, span, pos, tpos, 1 as votes, pos as start from numbered where not base
+  union
+  select h.row, h.tpl, h.span, h.pos, h.tpos, r.votes + 1, r.start from readings r join numbered h using (row, tpl, span)
+  where h.pos > r.pos and h.tpos > r.tpos and h.pos - r.pos <= h.n_grams + {GAP} and abs((h.pos - h.tpos) - (r.pos - r.tpos)) <= {GAP}),
+best as (select row, tpl, span, max(votes) as votes, arg_min(start, (-votes, start)) as start from readings group by 1, 2, 3),
 spans as (
-  select row, tpl, n_grams, label, base, span, sum(votes) as votes, min(start) as start,
-    least(sum(votes) / n_grams, 1.0) as part,
-    base and sum(votes) = n_grams as place, not base and least(sum(votes) / n_grams, 1.0) >= {LEAST} as notice
-  from numbered group by row, tpl, n_grams, label, base, span),
+  select row, tpl, label, base, coalesce(b.votes, n) as votes, coalesce(b.start, first) as start, coalesce(b.votes, n) / n_grams as part,
+    base and n = n_grams as place, not base and coalesce(b.votes, n) / n_grams >= {LEAST} as notice
+  from (select row, tpl, n_grams, label, base, span, count(*) as n, min(pos) as first from numbered group by all) left join best b using (row, tpl, span)),
 found as (
   select row, count(*) filter (place) as n_base, min(start) filter (place) as first_word, max(start) filter (place) as last_word,
     string_agg(distinct label, ',' order by label) filter (place) as base_labels,
