@@ -11,8 +11,6 @@ from .common import attach_by_key, blocks_for, hash32, materialise, numbered, pr
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST_COPIES = (3, 1, 2), 3, 2, 2
 #: Expected copies are whole numbers of this part of a copy, so that prefix sums are exact.
 UNIT = 1_000_000
-#: Random offsets that are tried for each source; the one whose words come nearest to the target is used.
-OFFSETS = 16
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -50,26 +48,20 @@ def _key():
 
 
 def systematic_copies(rows: DataFrame, total: int, seed: int = 7) -> DataFrame:
-    """Adds `copies` to rows (key, n_docs of the key, doc_id, size, target and expected copies in UNITs).
+    """Adds `copies` to rows (key, doc_id, size, and expected copies in UNITs).
 
-    Within a key, documents are dealt into blocks by a hash and lie in order of size in each block. Expected copies
-    are prefix-summed over that order, one random offset is added, and a document is emitted once for each whole copy
-    that the sum passes in it. The offset is one of OFFSETS hashed ones: that with the taken size nearest to the
-    target, the first of equals. All is a function of ids, sizes and the seed, so reruns agree.
+    Within a key, documents are dealt into blocks by a hash and lie in order of size in each block, up and down in
+    turn. Expected copies are prefix-summed over that order, one random offset is added, and a document is emitted
+    once for each whole copy that the sum passes in it. The offset is a hash of the key and the seed, so all is a
+    function of ids, sizes and the seed, and reruns agree.
     """
     block = F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"))), F.lit(blocks_for(total)))
     rows = rows.withColumn("block", block)
-    rows = materialise(prefix_sums(rows, ["key"], "block", [F.col("size"), F.col("doc_id")], F.col("expected"), "before"), "mix")
-
-    def copies(offset: str):
-        return F.expr(f"({offset} + before + expected) div {UNIT} - ({offset} + before) div {UNIT}")
-
-    offsets = [F.pmod(hash32(F.concat_ws(":", F.lit(f"{seed}-{i}"), F.col("key"))), F.lit(UNIT)) for i in range(OFFSETS)]
-    tried = rows.select("key", "n_docs", "target", "size", "expected", "before", *[o.alias(f"o{i}") for i, o in enumerate(offsets)])
-    sums = tried.groupBy("key", "n_docs", "target").agg(*[F.sum(F.col("size") * copies(f"o{i}")).alias(f"t{i}") for i in range(OFFSETS)])
-    off = [F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), o.alias("offset")) for i, o in enumerate(offsets)]
-    chosen = materialise(sums.select("key", "n_docs", F.array_min(F.array(*off))["offset"].alias("offset")), "offsets")
-    return attach_by_key(rows.drop("n_docs"), chosen, "key", "n_docs", total).withColumn("copies", copies("offset"))
+    turn = F.when(F.col("block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    rows = prefix_sums(rows, ["key"], "block", [turn, F.col("doc_id")], F.col("expected"), "before")
+    offset = F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("key"))), F.lit(UNIT))
+    copies = F.expr(f"(offset + before + expected) div {UNIT} - (offset + before) div {UNIT}")
+    return rows.withColumn("offset", offset).withColumn("copies", copies).drop("offset", "n_docs")
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ from q
 
 def _mix(seed: int = 7) -> str:
     bits = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
-    copies = lambda o: f"(({o} + before + expected) // {mixing.UNIT} - ({o} + before) // {mixing.UNIT})"
-    offsets = ", ".join(f"({i})" for i in range(mixing.OFFSETS))
+    offset = f"""({bits(f"'{seed}:' || key")} % {mixing.UNIT})"""
+    copies = f"(({offset} + before + expected) // {mixing.UNIT} - ({offset} + before) // {mixing.UNIT})"
     a, b, c = mixing.WEIGHTS
     return f"""
 with sizes as (select doc_id, source, coalesce('s' || source, 'n') as key, coalesce(len(regexp_extract_all(text, {_WORDS})), 0)::bigint as size from documents),
@@ -48,11 +48,10 @@ dealt as (
   select s.*, t.source_size, t.target, case when source_size = 0 then 0 else floor(target * {mixing.UNIT} / source_size + 0.5)::bigint end as expected,
     {bits(f"'{seed}:' || doc_id")} % greatest(1, (select count(*) from sizes) // {BLOCK_ROWS}) as block
   from sizes s join targets t using (key)),
-summed as (select *, coalesce(sum(expected) over (partition by key order by block, size, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from dealt),
-tried as (select key, i, {bits(f"'{seed}-' || i || ':' || key")} % {mixing.UNIT} as o from (select distinct key from sizes), (values {offsets}) v(i)),
-off as (select key, i, o, abs(sum(size * {copies('o')})::bigint - any_value(target)) as off from summed join tried using (key) group by key, i, o),
-chosen as (select key, o from (select *, row_number() over (partition by key order by off, i) as nth from off) where nth = 1)
-select doc_id, source, size, source_size, target, {copies('o')} as copies, size * {copies('o')} as taken from summed join chosen using (key)
+summed as (
+  select *, coalesce(sum(expected) over (partition by key order by block, case when block % 2 = 0 then size else -size end, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  from dealt)
+select doc_id, source, size, source_size, target, {copies} as copies, size * {copies} as taken from summed
 """
 
 
