@@ -62,6 +62,10 @@ class Model:
                 found.append((s.strip(), _logistic(self.bias + sum(map(self.weight, words)))))
         return found
 
+    def offending(self, text: str | None) -> list[str]:
+        """Every sentence that is more likely toxic than not, in the order of the text."""
+        return [s for s, p in self.sentences(text or "") if p >= 0.5]
+
     def score(self, text: str | None) -> tuple[float, str | None]:
         """Noisy-or over the sentences with a feature, and the worst of them if it's more likely toxic than not.
 
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_docs(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores every row of docs (doc_id, text): doc_id, score, predicted, worst_sentence.
+    """Scores every row of docs (doc_id, text): doc_id, score, predicted, worst_sentence, offending (sentences, where predicted).
 
     Null and empty texts have no sentence and score 0. Each row is scored on its own, from its text alone. An empty
     table gives an empty one; other columns are not read.
@@ -192,13 +196,15 @@ def score_docs(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(x) for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [model.score(x) for x in texts]
+            offending = [model.offending(x) if s >= 0.5 else [] for x, (s, _) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())],
-                ["doc_id", "score", "predicted", "worst_sentence"],
+                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string()), pa.array(offending, pa.list_(pa.string()))],
+                ["doc_id", "score", "predicted", "worst_sentence", "offending"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, worst_sentence string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, worst_sentence string, offending array<string>")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:

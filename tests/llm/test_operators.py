@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.llm import exact_dedup, licenses, mixing, near_dups, pieces, quality, sharding, tokens, toxicity, warc
+from reviewmill.llm import common, exact_dedup, licenses, mixing, near_dups, pieces, quality, sharding, tokens, toxicity, warc
 from reviewmill.llm.common import attach_by_key, fresh_path, prefix_sums
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -92,6 +93,12 @@ def test_license_with_a_word_more(spark):
     assert got == {1: "apache-2.0", 2: ""}
 
 
+def test_license_repeats_on_one_diagonal(spark):
+    texts = ["of the " * 8, "public license, " * 8, "the terms of the license " * 4, "under the terms of the GNU Lesser General Public License"]
+    got = [r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["", "", "", "gpl,lgpl"]
+
+
 def test_license_votes_are_different_positions(spark):
     texts = ["rated 4.0, 4.0, 4.0, 4.0, 4.0", "2.0 " * 7, "4.0 " * 500, "4.0 4.0 4.0 licensed under CC BY-NC 4.0", "by nc 4 0 licensed under cc"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -164,6 +171,7 @@ def test_toxicity(spark, docs, none):
     assert [zlib.crc32(str(g.doc_id).encode()) % 5 == 0 for g in got] == [g.held_out for g in got]
     assert sum(g.predicted == (g.doc_id % 4 == 0) for g in held) / len(held) > 0.95
     assert all("vile" in g.worst_sentence for g in got if g.worst_sentence)
+    assert all("vile" in x for g in got for x in g.offending) and any(len(g.offending) == 2 for g in got) and all(g.predicted or not g.offending for g in got)
     other = {g.doc_id: g for g in toxicity.score_docs(docs, model).collect()}
     assert (other[300].score, other[301].score, other[302].score) == (0, 0, 0) and len(other) == docs.count()
     assert toxicity.drop_toxic(docs, model).columns == docs.columns and toxicity.score_docs(none, model).count() == 0
@@ -211,12 +219,24 @@ def test_warc(spark):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
     assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {9: 7, 6: 1}
-    chunks = warc.chunk_records(warc.decide_records(pages)).filter("page_id = 1").orderBy("chunk_no").collect()
+    chunks = warc.chunk_records(pages, warc.decide_records(pages)).filter("page_id = 1").orderBy("chunk_no").collect()
     assert b"".join(c.data for c in chunks) == long.encode() and max(len(c.data) for c in chunks) == warc.CHUNK
     assert [c.digest_so_far for c in chunks] == [hashlib.sha256(long.encode()[: (i + 1) * warc.CHUNK]).hexdigest() for i in range(len(chunks))]
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 100_000)  # records that are longer than an archive
+    long = "ab漢" * 50_000
+    data = [(None, "u", "z" * 200), (None, "u", "z" * 200), (None, "v", "z" * 200), (4, "u", "z" * 200), (4, "u", "z" * 200), (5, "u", "z" * 200), (5, "u", "z" * 200), (6, "u", long), (7, None, long), (7, None, "y" * 150)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect())
+    refers = lambda i, html: {(5, "z" * 200): 4, (7, long): 6}.get((i, html))
+    assert got == Counter((i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if refers(i, h) else "response", refers(i, h)) for i, _, h in data)
+    chunks = warc.chunk_records(pages, warc.decide_records(pages)).collect()
+    assert sum(c.chunk_no == 0 for c in chunks) == len(data) == sum(c.last for c in chunks)
+
+
 def test_pieces(docs, none, rows):
     sentencepiece = pytest.importorskip("sentencepiece")
     file = public_tokenizers.path("piece_bpe_32k.model")
@@ -233,6 +253,52 @@ def test_pieces(docs, none, rows):
         assert t.encode(s).tolist() == library.encode(s)
 
 
+def model_file(path, pieces, kind):
+    """A model file: <unk>, the bytes, then pieces (text, score); no normalising but a space before the text."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    part = lambda field, data: varint(field << 3 | 2) + varint(len(data)) + data
+    number = lambda field, n: varint(field << 3) + varint(n)
+    piece = lambda text, score, k: part(1, part(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + number(3, k))
+    data = piece("<unk>", 0, 2) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(t, x, 1) for t, x in pieces)
+    data += part(2, number(3, kind) + number(35, 1)) + part(3, part(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_unigram(tmp_path, seed):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(seed)
+    letters = "abcdeé漢.1"
+    found = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(300)}
+    found |= {"▁" + x for x in list(found)[:80]} | {"▁", "▁▁", *"abcde.é1"}
+    file = model_file(tmp_path / "u.model", [(x, -rng.random() * 9 - len(x) / 2) for x in sorted(found)], 1)
+    library, t = sentencepiece.SentencePieceProcessor(model_file=file), pieces.Transducer(file)
+    for _ in range(1500):
+        s = "".join(rng.choice(letters + "  ▁z😀\n") for _ in range(rng.randint(0, 40)))
+        ids = t.encode(s)
+        assert ids.tolist() == library.encode(s) and t.decode(ids) == library.decode(library.encode(s))
+
+
+def test_bpe_of_any_order(tmp_path):
+    """Merges of random order, also such that a piece is never made of its own text."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    for seed in range(4):
+        rng = random.Random(seed)
+        found = list({"".join(rng.choice("ab▁"[: 2 + (i == 0)]) for i in range(n)) for n in range(2, 6) for _ in range(12)})
+        rng.shuffle(found)
+        file = model_file(tmp_path / f"b{seed}.model", [(x, -float(i)) for i, x in enumerate(found)] + [(x, -1000.0 - i) for i, x in enumerate("ab▁")], 2)
+        library, t = sentencepiece.SentencePieceProcessor(model_file=file), pieces.Transducer(file)
+        for _ in range(500):
+            s = "".join(rng.choice("ababab z") for _ in range(rng.randint(0, 30)))
+            assert t.encode(s).tolist() == library.encode(s), (seed, s)
+
+
+def test_other_models_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        pieces.Transducer(model_file(tmp_path / "w.model", [("a", -1.0)], 3))
+
+
 def test_shards(docs, none, rows):
     def jump(key, n):
         b, j = -1, 0
@@ -258,6 +324,21 @@ def test_shards(docs, none, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sharding.assign_shards(none, 5).count() == 0
 
 
+def test_write_shards(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, 5, str(tmp_path / "out"))
+    got = {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.doc_id, r.shard) for r in sharding.assign_shards(docs, 5).collect()} and len(got) == len(rows)
+
+
+def test_settled_leaves_its_result_only(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    build = lambda: common.materialise(common.materialise(spark.range(9), "a").filter("id > 2"), "b")
+    first = common.settled(spark, build, "one")
+    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["one"] and first.count() == 6
+    second = common.settled(spark, lambda: first.filter("id > 5"), "two", first)
+    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["two"] and second.count() == 3
+
+
 def test_tokens(spark, docs, none, rows):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     file, start = public_tokenizers.path("word_bpe_49k.json"), 0
@@ -272,7 +353,7 @@ def test_tokens(spark, docs, none, rows):
     first = min(manifest.collect(), key=lambda m: m.part)
     ids, mask = tokens.read_sequence(first.path, 0)
     n = min(first.n_ids, tokens.SEQUENCE)
-    assert len(ids) == tokens.SEQUENCE and mask.sum() == n and ids[mask].tolist() == stream[:n]
+    assert len(ids) == tokens.SEQUENCE and mask.sum() == n and ids[mask > 0].tolist() == stream[:n] and not ids.flags.owndata and not mask.flags.owndata
     assert tokens.token_index(none, file, 2).count() == 0
 
 
@@ -343,15 +424,98 @@ def test_near_buckets_of_two(spark):
     assert got == reachable(rows, 5) and got[2][1] == 1
 
 
+def test_every_character():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(file := public_tokenizers.path("word_bpe_49k.json"))
+    code = tokens.Encoder(file)
+    assert code.cuts
+    for lo in range(0, 0x10000, 64):
+        text = " ".join(f"the{c}s {c}of 3{c}" for c in map(chr, range(lo, lo + 64)) if not 0xD800 <= ord(c) < 0xE000)
+        assert np.frombuffer(code.encode(text), code.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, hex(lo)
+
+
+def test_other_tokenizer(rows):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(file := public_tokenizers.path("byte_bpe_50k.json"))
+    code = tokens.Encoder(file)
+    assert not code.cuts
+    for r in rows:
+        assert np.frombuffer(code.encode(r[1]), code.dtype).tolist() == library.encode(r[1] or "", add_special_tokens=False).ids
+
+
+def test_sequences_end_with_documents(tmp_path, monkeypatch):
+    """Documents that end at the end of a sequence, of a batch, in the middle, and empty ones."""
+    monkeypatch.setattr(tokens, "SEQUENCE", 8)
+    monkeypatch.setattr(tokens, "BATCH", 2)
+    uri = f"file://{tmp_path}/t.arrow"
+    writer, lengths = tokens.SequenceWriter(uri, np.dtype("<u2")), [8, 8, 16, 3, 5, 1, 40, 7, 24, 2]
+    docs = [np.arange(n, dtype="<u2") + 100 * i for i, n in enumerate(lengths)]
+    for i, ids in enumerate(docs):
+        writer.add(i, ids.tobytes())
+    writer.close()
+    got = list(tokens.read_documents(uri))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).tolist()
+    assert got == [(i, s, n, zlib.crc32(ids.astype("<u4").tobytes())) for i, (s, n, ids) in enumerate(zip(starts, lengths, docs))]
+    stream = np.concatenate(docs)
+    for k in range(-(-len(stream) // 8)):
+        ids, mask = tokens.read_sequence(uri, k)
+        assert ids[mask > 0].tolist() == stream[8 * k : 8 * k + 8].tolist()
+
+
+def copies_rows():
+    """A group of near copies around the limit of similarity, and documents that only share a passage."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, passage, out = words(60), words(40), []
+    for i in range(650):
+        t = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 2, 3, 4, 9])):
+            t[at] = f"x{rng.randrange(10**6)}"
+        out.append(t)
+    out += [passage + words(15) for _ in range(150)] + [words(30) for _ in range(50)]
+    rng.shuffle(out)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("block, shingles, leader_rows, copies", [(256, 1 << 21, 2000, 3), (40, 1 << 21, 50, 3), (256, 56 * 20, 2000, 10**6)])
+def test_near_large_groups(spark, monkeypatch, block, shingles, leader_rows, copies):
+    for name, value in (("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("LEADER_ROWS", leader_rows), ("COPIES", copies)):
+        monkeypatch.setattr(near_dups, name, value)
+    rows = copies_rows()
+    made, blocks = [], near_dups._in_blocks
+    monkeypatch.setattr(near_dups, "_in_blocks", lambda dealt, *a: made.append((dealt.count(), (e := blocks(dealt, *a)).count())) or e)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.link(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == reachable(rows, 5)
+    assert made and all(found <= dealt for dealt, found in made)
+
+
+def test_block_edges():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 100).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(100) < rng.choice([0.05, 0.1, 0.2]), rng.integers(0, 2**62, 100), base).astype(np.uint64)) for _ in range(60)]
+    marks = np.zeros((60, near_dups.COORDINATES), np.uint8)  # all are plausible
+    similar = {(i, j) for i in range(60) for j in range(i) if 100 * len(x := np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - len(x))}
+    comp = np.arange(60)
+    for side in (np.zeros(60, int), np.where(comp < 10, 1, 2)):
+        links = {(i, j) for i, j in similar if not side.any() or side[i] != side[j]}
+        edges = near_dups.block_edges(comp, side, marks, sets, 80)
+        whole = near_dups.spanning(*zip(*sorted(links)))
+        assert set(edges) <= links and len(edges) == len(whole) and 0 < len(edges) < 60 and near_dups.spanning(*zip(*edges, *links)) == edges
+    assert near_dups.block_edges(np.zeros(60, int), np.zeros(60, int), marks, sets, 80) == []
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 5, 300):
         a = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
         x, y = near_dups.sketch(a[:n], 512), near_dups.sketch(a[: 2 * n], 512)
         assert (x != np.iinfo(np.uint64).max).all() and abs((x == y).mean() - 0.5) < 0.1
-    a, b = near_dups.shingle_set(b"a b c d e f g", 2), near_dups.shingle_set(b"a b c d e f h i j k", 2)
-    bits = [np.frombuffer(near_dups.bitmap(s), np.uint8) for s in (a, b)]
-    assert near_dups.differing_bits(*bits) <= len(np.setxor1d(a, b))
+
+
+def test_common_matrix():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in (1, 40, 9000, 9000, 500)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = near_dups.common_matrix(sets)
+    assert [[got[i, j] for j in range(5)] == [near_dups.common_elements(x, y) for y in sets] for i, x in enumerate(sets) if i] and all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
 
 
 def test_null_and_repeated_ids(spark):
