@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewmill.llm import exact_dedup, mixing, near_dups, pieces, toxicity
-from reviewmill.llm.common import materialise, table
+from reviewmill.llm.common import settled, table
 from reviewmill.llm.queries import PIECE_BPE
 
 
@@ -43,9 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
-    return docs
+    """All stages on documents. What a stage has left in the shared folder goes when the next one has its rows."""
+    docs = before = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settled(spark, lambda: stage(spark, before, sf_dir), name.replace(" ", "-"), before)  # noqa: B023
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
