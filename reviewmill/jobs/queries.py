@@ -12,6 +12,7 @@ from ..functions import urls
 from ..operators import images, labelling, ledger, matching, pages, pivot, requests, rules
 from ..sources.tables import export_products
 from ..streaming.logs import request_windows
+from . import label_queries, page_queries, rule_queries
 from .bindings import AS_OF, HEADERS, PATTERNS, PRODUCTS, RULES, bound, ctes, rule_values, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,11 +142,8 @@ def sc6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segs.select("doc_id", F.size("s").alias("n_segments"), F.aggregate("s", F.lit(0), lambda a, x: a + F.char_length(x["seg"])).alias("chars"), F.array_max(F.transform("s", lambda x: x["weight"])).alias("most_weight"))
 
 
-@query()
-def w1_label_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain: clean, segments, hits, negation, scores, best candidate, stages, flag."""
-    ranked = [rules.Rule(r.header, r.stage, r.ord, r.pattern, r.label, i) if r.header == "place" else r for i, r in enumerate(RULES)]
-    return labelling.label_reviews(table(spark, sf_dir, "conversations"), "text", [*ranked, *PATTERNS], negative="stupid|idiot").drop("text", "cleaned_text")
+query(label_queries.LABELS_SQL)(label_queries.w1_label_reviews)
+query(label_queries.STATISTICS_SQL)(label_queries.a5_label_statistics)
 
 
 @query(f"with {HITS_SQL}, scored as (select doc_id, header, label, 30 + least(length(kw), 8) as score, start, ord from hits) select doc_id, header, label, score, start from (select *, row_number() over (partition by doc_id, header order by score desc, start, ord) as nth from scored) where nth = 1")
@@ -258,9 +256,9 @@ def u4_retire_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.retire_patterns(fuzzy, groups)
 
 
-@query("select p_brand as header, p_type as label, concat('(', string_agg(p_name, '|' order by p_partkey), ')') as pattern from part where p_size < 10 group by 1, 2")
+@query("select p_brand as header, p_type as label, concat('(', string_agg(p_name, '|' order by p_partkey), ')') as pattern from part group by 1, 2")
 def u5_group_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").filter("p_size < 10")
+    part = table(spark, sf_dir, "part")
     return rules.group_patterns(part.select(F.col("p_brand").alias("header"), F.col("p_type").alias("label"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("phrase")))
 
 
@@ -270,15 +268,18 @@ def j7_header_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.header_of_label(part.select(F.col("p_brand").alias("header"), F.expr("case when p_size % 2 = 0 then 'exact' else 'fuzzy' end").alias("stage"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("label")))
 
 
-@query("with h(header, ord) as (select distinct p_brand, cast(substr(p_brand, 7) as int) from part), n as (select distinct case when p_size % 3 = 0 then p_brand when p_size % 3 = 1 then concat('the ', p_brand, ' one') else concat('alias ', substr(p_brand, 7)) end as name, p_brand from part) select name, case when name in (select header from h) or name like 'alias %' then p_brand else (select arg_min(header, ord) from h where contains(name, header)) end as header from n")
+@query("with h(header, ord) as (select distinct p_brand, cast(substr(p_brand, 7) as int) from part), n as (select distinct case when p_size % 3 = 0 then p_brand when p_size % 3 = 1 then concat(substr(p_brand, 4), '标签') else concat('alias ', substr(p_brand, 7)) end as name, p_brand from part) select name, case when name in (select header from h) or name like 'alias %' then p_brand else (select arg_min(header, ord) from h where contains(header, replace(name, '标签', ''))) end as header from n")
 def j6_header_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     headers = part.select(F.col("p_brand").alias("header"), F.substring("p_brand", 7, 9).cast("int").alias("ord")).distinct()
-    names = part.select(F.expr("case when p_size % 3 = 0 then p_brand when p_size % 3 = 1 then concat('the ', p_brand, ' one') else concat('alias ', substr(p_brand, 7)) end").alias("name")).distinct()
+    names = part.select(F.expr("case when p_size % 3 = 0 then p_brand when p_size % 3 = 1 then concat(substr(p_brand, 4), '标签') else concat('alias ', substr(p_brand, 7)) end").alias("name")).distinct()
     aliases = headers.select(F.concat(F.lit("alias "), F.substring("header", 7, 9)).alias("alias"), "header")
     return rules.resolve_header(names, headers, aliases)
 
 
+query(rule_queries.RULES_SQL)(rule_queries.io3_compile_rules)
+
+
 # ledger -------------------------------------------------------------------------------------------------------------
 
 LATEST_SQL = f"{ctes('downloads')}, latest as (select * exclude (nth) from (select *, row_number() over (partition by asin, image_url order by created_at desc, seq desc) as nth from downloads) where nth = 1)"
@@ -295,10 +296,12 @@ def w9_latest_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LATEST_SQL} select status, count(*) as n, sum(file_size)::bigint as total_size from latest group by 1")
 def u7_upsert_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of one half of the results after those of the other half."""
+    """The ledger of half of the results, upserted by the other half and then by some of the first again."""
     d = bound(spark, sf_dir, "downloads")
-    merged = ledger.upsert_downloads(_latest(spark, sf_dir).filter("seq < 30000"), d.filter("seq >= 30000")).unionByName(d.filter("seq < 30000"))
-    return ledger.latest_downloads(merged).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("total_size"))
+    first = F.pmod(F.xxhash64("asin", "image_url", "seq"), F.lit(2)) == 0
+    ledger_ = ledger.upsert_downloads(ledger.latest_downloads(d.filter(first)), d.filter(~first))
+    again = ledger.upsert_downloads(ledger_, d.filter(first & (F.col("file_size") > 25000)))
+    return again.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("total_size"))
 
 
 @query("""with every as (select cast(l_partkey as string) as asin, case when l_linenumber % 3 = 0 then null else concat('title ', l_orderkey, '-', l_linenumber) end as title, cast(null as string) as url, l_shipdate as created_at, l_shipdate as updated_at from lineitem
@@ -498,14 +501,8 @@ def h5_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("page_id", F.coalesce("page.page_lang", F.lit("")).alias("lang"), F.size("page.links").alias("links"))
 
 
-@query()
-def p1_p7_product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.product_rows(table(spark, sf_dir, "pages").withColumn("asin", F.col("page_id").cast("string")))
-
-
-@query()
-def p8_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_candidates(table(spark, sf_dir, "pages").withColumn("asin", F.col("page_id").cast("string")), strict=False)
+query(page_queries.PRODUCTS_SQL)(page_queries.p1_p7_product_rows)
+query(page_queries.CANDIDATES_SQL)(page_queries.p8_page_candidates)
 
 
 @query("select event_id, cast(regexp_extract(props, '\"k\": (\\d+)', 1) as int) as k from events")

@@ -31,28 +31,35 @@ def bounded(table: DataFrame, most: int = MOST_RULES) -> DataFrame:
     return table
 
 
-def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names(name) with the header that each means: the same name, an alias, or the first whose stem it holds.
+def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame, by: list[str] = ()) -> DataFrame:
+    """names(name) with the header that each means: the same name, an alias, or the first that holds the name's stem.
 
-    headers: header, ord. aliases: alias, header. The table of headers is small and broadcast.
+    headers: header, ord. aliases: alias, header. `by`: columns of all three within which names are looked up. A
+    name's stem is what stands before the word for label. The table of headers is small and broadcast.
     """
-    exact = headers.select(F.col("header").alias("name"), F.col("header").alias("same")).dropDuplicates(["name"])
-    alias = aliases.select(F.col("alias").alias("name"), F.col("header").alias("by_alias")).dropDuplicates(["name"])
-    stem = F.regexp_replace("header", "标签$", "")
-    stems = headers.select(stem.alias("stem"), "header", "ord").filter("stem <> ''")
-    by_stem = names.join(F.broadcast(bounded(stems)), F.contains(F.col("name"), F.col("stem"))).groupBy("name").agg(F.min_by("header", "ord").alias("by_stem"))
-    out = names.join(exact, "name", "left").join(alias, "name", "left").join(by_stem, "name", "left")
-    return out.select("name", F.coalesce("same", "by_alias", "by_stem").alias("header"))
+    by = list(by)
+    exact = headers.select(*by, F.col("header").alias("name"), F.col("header").alias("same")).dropDuplicates([*by, "name"])
+    alias = aliases.join(headers.select(*by, "header"), [*by, "header"], "left_semi").select(*by, F.col("alias").alias("name"), F.col("header").alias("by_alias")).dropDuplicates([*by, "name"])
+    told, own = names.distinct(), bounded(headers).select(*[F.col(c).alias(f"__{c}") for c in by], "header", "ord")
+    stem = F.regexp_replace("name", "标签$", "")
+    held = [*[told[c] == own[f"__{c}"] for c in by], stem != "", F.contains(own["header"], stem)]
+    by_stem = told.join(F.broadcast(own), held).groupBy(*by, "name").agg(F.min_by("header", "ord").alias("by_stem"))
+    out = told.join(exact, [*by, "name"], "left").join(alias, [*by, "name"], "left").join(by_stem, [*by, "name"], "left")
+    return out.select(*by, "name", F.coalesce("same", "by_alias", "by_stem").alias("header"))
 
 
 def merge_rule_sources(sources: list[DataFrame]) -> DataFrame:
-    """Rules (header, keyword, label) of several sources: of one header and keyword, the later source's stays."""
+    """Rules (header, keyword, label) of several sources: of one header and keyword, the later source's stays.
+
+    Sources may have `ord`: then the last of a source's own stays, and ord is kept.
+    """
+    ordered = all("ord" in source.columns for source in sources)
     every = None
     for rank, source in enumerate(sources):
-        ranked = source.select("header", F.lower(strip(F.col("keyword"))).alias("keyword"), "label", F.lit(rank).alias("source_rank"))
+        ranked = source.select("header", F.lower(strip(F.col("keyword"))).alias("keyword"), "label", *["ord"] * ordered, F.lit(rank).alias("source_rank"))
         every = ranked if every is None else every.unionByName(ranked)
     every = every.filter("keyword <> '' and label is not null")
-    best = Window.partitionBy("header", "keyword").orderBy(F.desc("source_rank"), "label")
+    best = Window.partitionBy("header", "keyword").orderBy(F.desc("source_rank"), *[F.desc("ord")] * ordered, "label")
     return every.withColumn("at", F.row_number().over(best)).filter("at = 1").drop("at")
 
 
@@ -72,42 +79,100 @@ def retire_patterns(fuzzy: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.withColumn("at", F.row_number().over(first)).filter("at = 1").drop("at")
 
 
-def group_patterns(groups: DataFrame) -> DataFrame:
-    """One alternation for each header and label of groups (header, label, ord, phrase)."""
+def group_patterns(groups: DataFrame, by: list[str] = ("header", "label")) -> DataFrame:
+    """One alternation for each header and label of groups (header, label, ord, phrase), or for each of other columns."""
     words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "phrase"))), lambda x: x["phrase"])
-    return groups.groupBy("header", "label").agg(F.concat(F.lit("("), F.array_join(words, "|"), F.lit(")")).alias("pattern"))
+    return groups.groupBy(*by).agg(F.concat(F.lit("("), F.array_join(words, "|"), F.lit(")")).alias("pattern"))
 
 
-def header_of_label(rules: DataFrame) -> DataFrame:
-    """The header that a label belongs to: that of its first rule, exact rules before patterns."""
+def header_of_label(rules: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The header that a label belongs to: that of its first rule, exact rules before patterns. `by`: columns within which that holds."""
     rank = F.when(F.col("stage") == "exact", 0).when(F.col("stage") == "fuzzy", 1).otherwise(2)
-    return rules.groupBy("label").agg(F.min_by("header", F.struct(rank, F.col("ord"), F.col("header"))).alias("header"))
-
+    return rules.groupBy(*by, "label").agg(F.min_by("header", F.struct(rank, F.col("ord"), F.col("header"))).alias("header"))
 
-def flatten_config(config: DataFrame) -> DataFrame:
-    """Rules of nested configurations, one JSON text a row (column config): header -> keyword -> label, by stage."""
-    nested = "struct<exact_rules:map<string,map<string,string>>,en_keyword_to_label_map:map<string,map<string,string>>,fuzzy_rules:map<string,array<array<string>>>>"
-    parsed = config.select(F.from_json("config", nested).alias("c"))
 
-    def stage(column: str, name: str) -> DataFrame:
-        by_header = parsed.select(F.explode(f"c.{column}").alias("header", "rules"))
-        return by_header.select("header", F.lit(name).alias("stage"), F.posexplode("rules").alias("ord", "pattern", "label"))
+#: Sections of a configuration. The map of foreign keywords holds labels, or maps of keywords by header, as JSON.
+CONFIG = (
+    "struct<output_columns: array<string>, header_alias_map: map<string, string>, label_priority_order: array<string>, exact_semantic_clusters: map<string, map<string, array<string>>>, "
+    "exact_rules: map<string, map<string, string>>, fuzzy_rules: map<string, array<array<string>>>, semantic_groups: map<string, map<string, struct<label: string, patterns: array<string>>>>, "
+    "en_map_mode: string, en_keyword_to_label_map: map<string, string>>"
+)
+#: Levels of clusters, first ranks first, and the mode in which foreign keywords are used.
+LEVELS, FALLBACK_ONLY = ["HIGH", "MID", "LOW"], "fallback_only"
+_BETWEEN = "\u0001"
 
-    fuzzy = parsed.select(F.explode("c.fuzzy_rules").alias("header", "rules")).select("header", F.lit("fuzzy").alias("stage"), F.posexplode("rules").alias("ord", "rule"))
-    fuzzy = fuzzy.select("header", "stage", "ord", F.get("rule", F.lit(0)).alias("pattern"), F.get("rule", F.lit(1)).alias("label"))
-    return stage("exact_rules", "exact").unionByName(fuzzy).unionByName(stage("en_keyword_to_label_map", "en_fallback"))
 
+def compile_rules(configs: DataFrame, sheet: DataFrame | None = None) -> DataFrame:
+    """All rules of configurations (config_id, config as JSON) and of a sheet (config_id, header, keyword, value, match_type).
 
-def read_rule_sheet(sheet: DataFrame) -> DataFrame:
-    """Rules of a sheet (header, keyword, value, match_type): blank cells, also those read as nan, are no rules."""
+    Returns config_id, header, stage, ord, pattern, label, pri. Headers are resolved by name, alias and stem; a header
+    that means none of the output columns is one of its own. Keywords of clusters stand for the first of their level,
+    whose rank is its label's priority. Exact rules win over clusters and the sheet over both; exact rules that say
+    less than a cluster are retired, as are patterns whose label a semantic group covers. Foreign keywords are the
+    fallback of their header, or of the header that has their label.
+    """
+    c = configs.select("config_id", F.from_json("config", CONFIG).alias("c"))
+    key = ["config_id", "name"]
+    headers = c.select("config_id", F.posexplode("c.output_columns").alias("ord", "header"))
+    aliases = c.select("config_id", F.explode("c.header_alias_map").alias("alias", "header"))
+    levels = F.coalesce("c.label_priority_order", F.array(*map(F.lit, LEVELS)))
+    clusters = c.select("config_id", levels.alias("levels"), F.explode("c.exact_semantic_clusters").alias("name", "own")).select(*key, "own", F.posexplode("levels").alias("pri", "level"))
+    clusters = clusters.select(*key, "pri", F.try_element_at("own", F.col("level")).alias("words")).withColumn("label", strip(F.get("words", F.lit(0)))).filter("label <> ''")
+    clusters = clusters.select(*key, "pri", "label", F.posexplode("words").alias("at", "keyword")).withColumn("ord", F.col("pri") * 10_000 + F.col("at")).drop("at")
+    exact = c.select("config_id", F.explode("c.exact_rules").alias("name", "own")).select(*key, F.posexplode("own").alias("ord", "keyword", "label"))
+    fuzzy = c.select("config_id", F.explode("c.fuzzy_rules").alias("name", "own")).select(*key, F.posexplode("own").alias("ord", "rule"))
+    fuzzy = fuzzy.select(*key, "ord", F.get("rule", F.lit(0)).alias("pattern"), F.get("rule", F.lit(1)).alias("label"))
+    groups = c.select("config_id", F.explode("c.semantic_groups").alias("name", "own")).select(*key, F.posexplode("own").alias("nth", "group", "g"))
+    groups = groups.select(*key, "nth", strip(F.col("g.label")).alias("label"), F.posexplode_outer("g.patterns").alias("ord", "phrase")).filter("label <> ''").withColumn("phrase", strip(F.col("phrase")))
+    used = c.filter(F.lower(F.trim(F.coalesce("c.en_map_mode", F.lit(FALLBACK_ONLY)))) == FALLBACK_ONLY)
+    entries = used.select("config_id", F.exists(F.map_values("c.en_keyword_to_label_map"), lambda v: v.startswith("{")).alias("nested"), F.posexplode("c.en_keyword_to_label_map").alias("ord", "k", "v"))
+    by_header = entries.filter(F.col("nested") & F.col("v").startswith("{")).select("config_id", F.col("k").alias("name"), F.posexplode(F.from_json("v", "map<string,string>")).alias("ord", "keyword", "label"))
+    by_label = entries.filter(~F.col("nested")).select("config_id", "ord", F.col("k").alias("keyword"), F.col("v").alias("label"))
+
+    told = None if sheet is None else read_rule_sheet(sheet, ["config_id"]).withColumnRenamed("header", "name").withColumn("ord", F.lit(0))
+    parts = {"clusters": clusters, "exact": exact, "fuzzy": fuzzy, "groups": groups, "by_header": by_header} | ({} if told is None else {"told": told})
+    every = None
+    for section, part in parts.items():
+        part = part.withColumn("section", F.lit(section))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    resolved = resolve_header(every.select(*key), headers, aliases, ["config_id"]).select(*key, F.concat_ws(_BETWEEN, "config_id", F.coalesce("header", "name")).alias("header"))
+    # each section is asked for several times below: all are kept, as few as they are
+    every = every.join(resolved, key).persist()
+    of = lambda section: every.filter(F.col("section") == section).select("header", *[c for c in parts[section].columns if c not in key])
+    clusters, exact, fuzzy, groups, by_header = map(of, ("clusters", "exact", "fuzzy", "groups", "by_header"))
+
+    base = retire_covered(merge_rule_sources([clusters, exact]), clusters)
+    some = group_patterns(groups.filter("phrase <> ''"), ["header", "label", "nth"]).select("header", (F.col("nth") + MOST_RULES).alias("ord"), "pattern", "label")
+    patterns = retire_patterns(fuzzy.select("header", "ord", strip(F.col("pattern")).alias("pattern"), strip(F.col("label")).alias("label")).unionByName(some), groups)
+    if told is not None:
+        told = of("told")
+        base = merge_rule_sources([base.select("header", "keyword", "label", (F.col("source_rank") * MOST_RULES + F.col("ord")).alias("ord")), told.filter("stage = 'exact'")])
+        patterns = patterns.unionByName(told.filter("stage = 'fuzzy'").select("header", (F.col("ord") + 2 * MOST_RULES).alias("ord"), F.col("keyword").alias("pattern"), "label"))
+    base = base.select("header", F.lit("exact").alias("stage"), (F.col("source_rank") * 10 * MOST_RULES + F.col("ord")).alias("ord"), F.col("keyword").alias("pattern"), "label")
+    known = base.unionByName(patterns.select("header", F.lit("fuzzy").alias("stage"), "ord", "pattern", "label"))
+    own = F.substring_index("header", _BETWEEN, 1)
+    owners = header_of_label(known.withColumn("config_id", own), ["config_id"])
+    fallback = by_header.unionByName(by_label.withColumn("config_id", F.col("config_id").cast("string")).join(owners, ["config_id", "label"]).select(*by_header.columns))
+    every = known.unionByName(fallback.select("header", F.lit("en_fallback").alias("stage"), "ord", F.col("keyword").alias("pattern"), "label"))
+    ranks = clusters.groupBy("header", "label").agg(F.min("pri").alias("pri"))
+    at = F.row_number().over(Window.partitionBy("header", "stage").orderBy("ord", "pattern")) - 1
+    out = every.join(ranks, ["header", "label"], "left").withColumn("ord", at)
+    return out.select(own.alias("config_id"), F.substring_index("header", _BETWEEN, -1).alias("header"), "stage", "ord", "pattern", "label", "pri")
+
+
+def read_rule_sheet(sheet: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Rules of a sheet (header, keyword, value, match_type): blank cells, also those read as nan, are no rules.
+
+    A keyword without a value is its own label. `by`: further columns that are kept.
+    """
 
     def cell(name: str) -> Column:
         text = strip(F.col(name).cast("string"))
         return F.when((text != "") & (F.lower(text) != "nan"), text)
 
-    rows = sheet.select(cell("header").alias("header"), cell("keyword").alias("keyword"), cell("value").alias("label"), F.lower(cell("match_type")).alias("kind"))
-    return rows.filter("header is not null and keyword is not null and label is not null").select(
-        "header", "keyword", "label", F.when(F.col("kind").isin("fuzzy", "regex", "模糊"), "fuzzy").otherwise("exact").alias("stage")
+    rows = sheet.select(*by, cell("header").alias("header"), cell("keyword").alias("keyword"), F.coalesce(cell("value"), cell("keyword")).alias("label"), F.lower(cell("match_type")).alias("kind"))
+    return rows.filter("header is not null and keyword is not null").select(
+        *by, "header", "keyword", "label", F.when(F.col("kind").isin("fuzzy", "regex", "模糊"), "fuzzy").otherwise("exact").alias("stage")
     )
 
 

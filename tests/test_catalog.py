@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -8,7 +9,8 @@ from reviewmill.functions import urls
 from reviewmill.jobs.queries import QUERIES
 from reviewmill.operators import images, ledger, pages, requests
 from reviewmill.sources import tables
-from reviewmill.streaming.logs import read_snapshot, request_windows, upsert_stream
+from reviewmill.streaming import logs
+from reviewmill.streaming.logs import merge_batch, read_snapshot, request_windows, upsert_stream
 
 PAGE = """<html lang="en"><head><title>T</title></head><body><a id="bylineInfo">Visit the Acme Store</a><span id="productTitle"> Lamp </span>
 <div id="corePriceDisplay_desktop_feature_div"><span class="a-price"><span class="a-offscreen">$12.50</span></span></div>
@@ -45,7 +47,7 @@ def test_upgrade(spark):
     cells = ["x._AC_SX679_.jpg", "x.jpg", "x._SL1500_.jpg"]
     df = spark.createDataFrame([(c,) for c in cells], "u string")
     got = [tuple(r) for r in df.select(urls.upgrade(F.col("u")), urls.url_key(urls.upgrade(F.col("u")))).collect()]
-    assert [g[0] for g in got] == ["x_SL1500_.jpg" if c != cells[2] else "x._SL1500__SL1500_.jpg" for c in cells] or got[0][0] == "x._SL1500_.jpg"
+    assert got == [("x._SL1500_.jpg", "x.jpg"), ("x_SL1500_.jpg", "x_SL1500_.jpg"), ("x._SL1500__SL1500_.jpg", "x.jpg")]
     rows = spark.createDataFrame([("p", ["https://a/1._AC_SX679_.jpg", "https://a/1._AC_SY300_.jpg", "https://a/2.jpg", "https://a/3.jpg"])], "asin string, found array<string>")
     assert [(r.idx, r.file_name) for r in images.image_rows(rows, "found", 3).orderBy("idx").collect()] == [(1, "p_01.jpg"), (2, "p_02.jpg")]
 
@@ -96,6 +98,32 @@ def test_sources(spark, tmp_path):
         tables.write_labelled(df, out, "1", "category")
 
 
+def test_readers_and_reports(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('content,star,extra\n"two\nlines",4,x\n,,\n')
+    got = tables.read_reviews(spark, str(tmp_path / "r.csv"))
+    assert got.columns == ["content", "star", "extra"] and [tuple(r) for r in got.collect()] == [("two\nlines", "4", "x"), (None, None, None)]
+    got.write.json(str(tmp_path / "r.json"))
+    assert tables.read_reviews(spark, str(tmp_path / "r.json")).filter("star = '4'").first().content == "two\nlines"
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text("<p>\n</p>")
+    assert [(r.path.rsplit("/", 1)[1], r.html) for r in tables.read_pages(spark, str(tmp_path / "pages")).collect()] == [("a.html", "<p>\n</p>")]
+    assert tables.keep_columns(got, [["star", "nope"], ["content"]]).columns == ["star", "content"]
+    stats = spark.createDataFrame([("success", 3, 75.0, 1.5), ("failed", 1, 25.0, 0.0)], "status string, n long, percent double, mb double")
+    tables.write_report(stats, str(tmp_path / "report"))
+    assert json.loads(next((tmp_path / "report").glob("*.json")).read_text()) == {"by_status": {"failed": 1, "success": 3}, "total": 4, "mb": 1.5}
+
+
+def test_late_requests_are_dropped(spark, tmp_path):
+    log = lambda minutes: spark.sql(" union all ".join(f"select 'u' url, 200 status_code, 1.0D response_time, timestamp'2024-01-01 10:00:00' + make_dt_interval(0, 0, {m}, 0) created_at" for m in minutes))
+    for minutes in ((0, 3, 40), (41, 4), (60,)):
+        log(minutes).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(log([0]).schema).parquet(str(tmp_path / "log"))
+        q = request_windows(stream, "10 minutes", "5 minutes").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    got = {(str(r.start)[11:16], r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("09:55", 2), ("10:00", 2), ("10:35", 2), ("10:40", 2)}  # minute 4 came after the watermark had passed its windows
+
+
 def test_streams_equal_batch(spark, tmp_path):
     log = spark.sql("select concat('u', id) url, 200 + cast(id % 2 as int) status_code, id * 1.5D response_time, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * 20) created_at from range(60)")
     log.write.parquet(str(tmp_path / "log"))
@@ -109,6 +137,27 @@ def test_streams_equal_batch(spark, tmp_path):
     upsert_stream(results, str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination(120)
     got = read_snapshot(spark, str(tmp_path / "ledger")).select(*rows.columns)
     assert sorted(got.collect()) == sorted(ledger.latest_downloads(rows).collect())
+    # a new checkpoint: the stream's rows come again, and five more; nothing is lost or doubled
+    more = spark.sql("select cast(id as string) asin, 'j' image_url, 'success' status, timestamp'2024-01-01' created_at, id seq from range(5)")
+    more.coalesce(1).write.parquet(str(tmp_path / "results" / "more"))
+    results = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "results"))
+    upsert_stream(results, str(tmp_path / "ledger"), str(tmp_path / "cp2")).awaitTermination(120)
+    got = read_snapshot(spark, str(tmp_path / "ledger")).select(*rows.columns)
+    assert sorted(got.collect()) == sorted(ledger.latest_downloads(rows.unionByName(more)).collect())
+
+
+def test_ledger_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda n, status: spark.sql(f"select concat('p', id) asin, 'i' image_url, '{status}' status, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {n}) created_at, {n}L seq from range(200)")
+    merge_batch(rows(0, "failed"), path)
+    for n in range(1, 5):
+        merge_batch(rows(n, "success").filter("asin = 'p7'"), path)
+    merge_batch(rows(9, "x").limit(0), path)
+    got = read_snapshot(spark, path)
+    assert got.count() == 200 and [(r.asin, r.seq) for r in got.filter("status = 'success'").collect()] == [("p7", 4)]
+    assert sorted(int(x.name[:-5]) for x in (tmp_path / "ledger/_snapshots").glob("*.json")) == [3, 4]
+    versions = {x.name: len(list(x.glob("bucket=*"))) for x in (tmp_path / "ledger").glob("v=*")}
+    assert versions["v=3"] == versions["v=4"] == 1 and set(versions) == {"v=0", "v=3", "v=4"} and versions["v=0"] < logs.BUCKETS
 
 
 def test_rate_audit(spark):

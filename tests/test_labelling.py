@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import bad_by_star, clean_text, cut_tags, date_of, height_label, merge_columns, phrase_steps, star_of
+from reviewmill.functions.text import bad_by_star, clean_text, cut_tags, date_of, height_label, length_cm, merge_columns, phrase_steps, star_of
 from reviewmill.operators import labelling, matching
 from reviewmill.operators.rules import Rule
 
@@ -123,6 +124,47 @@ def test_index_equals_expressions(spark):
         assert got == want
 
 
+def test_lengths(spark):
+    assert values(spark, length_cm, ["180cm", "1.8 m", "6 ft", "6英尺", "75", "x", None]) == [180.0, 180.0, 182.88, 182.88, 75.0, None, None]
+
+
+LEXICON_RULES = [
+    *RULES, Rule("画质", "fuzzy", 0, "卡.{0,2}顿", "系统卡顿"), Rule("画质", "en_fallback", 0, "noisy", "噪音大"), Rule("画质", "en_fallback", 1, "so noisy", "吵"),
+    Rule("h", "exact", 0, "aaa", "A", 2), Rule("h", "exact", 1, "bbb", "B", 1), Rule("h", "fuzzy", 0, "c+d", "C"),
+    *exact("外观标签", [("太小", "尺寸小"), ("太大", "尺寸大"), ("漂亮", "颜色好看"), ("难看", "颜色不好看")]), Rule("外观标签", "fuzzy", 0, "丑", "外观不好看"),
+    *exact("核心痛点", [("低维护", "不想维护"), ("假", "假得明显")]),
+]
+
+
+def test_both_paths_label_alike(spark):
+    """One pass in Arrow batches gives what expressions give, over mixtures of every case."""
+    rng = random.Random(8)
+    cases = ["画面很清晰", "不清晰", "清晰度不好", "但是后来模糊", "噪音大", "不如上一台清晰", "比它更清晰", "换货解决了", "现在很满意", "亮", "画面亮", "系统卡了顿", "noisy", "so noisy", "aaa", "bbb", "xccd", "太大", "太小", "漂亮", "难看", "丑",
+             "低维护 low maintenance alternative", "假", "宣传清晰 实际模糊", "这个价位来说", "没想到", "像", "非常", "。", "！", "，", "不过", "returned others bad quality", " "]
+    texts = ["".join(rng.choice(cases) for _ in range(rng.randint(0, 8))) for _ in range(150)] + [None, "", "。，,"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id int, content string").repartition(4)
+    label = lambda indexed: sorted(labelling.label_reviews(df, "content", LEXICON_RULES, neutral="一般", indexed=indexed).collect())
+    assert label(True) == label(False)
+
+
+def test_many_rules_and_a_long_text(spark):
+    rules = exact("h", [(f"kw{i:04d}", f"label {i}") for i in range(5000)])
+    words = [f"kw{i * 7 % 6000:04d}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, ". ".join(words[:50]))], "review_id int, content string")
+    began = time.time()
+    got = {r.review_id: r for r in labelling.label_reviews(df, "content", rules, statistics=True).collect()}
+    assert got[1].h == "label 0" and got[1].exact_hits == sum(int(w[2:]) < 5000 for w in words) and got[2].exact_hits == 50 and time.time() - began < 60
+    stats = labelling.match_statistics(labelling.label_reviews(df, "content", rules, statistics=True), ["h"]).first()
+    assert tuple(stats) == (got[1].exact_hits + 50, 0, 0)
+
+
+def test_keyword_join(spark):
+    docs = spark.createDataFrame([(1, "ab abc"), (2, "Ab"), (3, None)], "i int, t string")
+    rules = spark.createDataFrame([("h", "ab", "x"), ("h", "abc", "y"), ("g", "ab", "z"), ("g", "Ab", "w")], "header string, pattern string, label string")
+    got = sorted(tuple(r) for r in matching.keyword_join(docs, "i", "t", rules).collect())
+    assert got == [(1, "g", "ab", "z"), (1, "h", "ab", "x"), (1, "h", "abc", "y"), (2, "g", "Ab", "w")]
+
+
 def test_segments(spark):
     df = spark.createDataFrame([("好。但是坏！不过行",), ("",)], "t string")
     got = [[tuple(s) for s in r[0]] for r in df.select(matching.segments(F.col("t"))).collect()]
@@ -141,12 +183,12 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_rule_tables(spark):
     from reviewmill.operators import rules
 
-    config = '{"exact_rules":{"h":{"k":"l"}},"fuzzy_rules":{"h":[["a.b","x"],["c","y"]]},"en_keyword_to_label_map":{"h":{"e":"z"}}}'
-    flat = rules.flatten_config(spark.createDataFrame([(config,)], "config string"))
-    assert sorted(tuple(r) for r in flat.collect()) == [("h", "en_fallback", 0, "e", "z"), ("h", "exact", 0, "k", "l"), ("h", "fuzzy", 0, "a.b", "x"), ("h", "fuzzy", 1, "c", "y")]
-    compiled = rules.collect_rules(flat.withColumn("pri", F.lit(None)))
+    config = '{"output_columns":["h"],"exact_rules":{"h":{"k":"l"}},"fuzzy_rules":{"h":[["a.b","x"],["c","y"]]},"en_keyword_to_label_map":{"h":{"e":"z"}}}'
+    flat = rules.compile_rules(spark.createDataFrame([(1, config), (2, "{}"), (3, None)], "config_id int, config string"))
+    assert sorted(tuple(r)[:6] for r in flat.collect()) == [("1", "h", "en_fallback", 0, "e", "z"), ("1", "h", "exact", 0, "k", "l"), ("1", "h", "fuzzy", 0, "a.b", "x"), ("1", "h", "fuzzy", 1, "c", "y")]
+    compiled = rules.collect_rules(flat)
     assert [r.pattern for r in compiled] == ["e", "k", "a.b", "c"]
-    sheet = spark.createDataFrame([("h", " k ", "v", "fuzzy"), ("h", "nan", "v", None), (None, "k", "v", ""), ("h", "q", "v", None)], "header string, keyword string, value string, match_type string")
-    assert sorted(tuple(r) for r in rules.read_rule_sheet(sheet).collect()) == [("h", "k", "v", "fuzzy"), ("h", "q", "v", "exact")]
+    sheet = spark.createDataFrame([("h", " k ", "v", "fuzzy"), ("h", "nan", "v", None), (None, "k", "v", ""), ("h", "q", "v", None), ("h", "r", " ", None)], "header string, keyword string, value string, match_type string")
+    assert sorted(tuple(r) for r in rules.read_rule_sheet(sheet).collect()) == [("h", "k", "v", "fuzzy"), ("h", "q", "v", "exact"), ("h", "r", "r", "exact")]
     with pytest.raises(ValueError):
         rules.bounded(spark.range(5), 4)
