@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.rules import Rule
+from ..sources.session import spread
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = TABLES[name]
     return table(spark, sf_dir, source).selectExpr(*_columns(columns))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..operators import labelling
 from ..operators.rules import Rule
-from .bindings import PATTERNS, RULES, table
+from .bindings import PATTERNS, RULES, spread_table
 
 #: One for each case: plain, negated before and after, turn words, two sentences, degree, likeness, better and worse
 #: than, claim and fact, price, put right, others' faults, nested keywords, ranks, several labels, easy care, fallback.
@@ -156,7 +156,7 @@ select (select coalesce(sum(exact_hits), 0)::bigint from counted) as exact_hits,
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.expr(TEXT))
+    turns = spread_table(spark, sf_dir, "conversations").withColumn("text", F.expr(TEXT))
     return labelling.label_reviews(turns, "text", LABEL_RULES, neutral=NEUTRAL, negative=NEGATIVE, statistics=True)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pages
-from .bindings import table
+from .bindings import spread_table
 
 DETAIL = "https://d.example/aplus-media-library-service-media/"
 _RANKS = """concat('<table><tr><th>Best Sellers Rank</th><td><ul><li>#1,', lpad(page_id % 1000, 3, '0'), ' in Home (See Top 100)</li><li>#', page_id % 9 + 1, ' in Lamps</li></ul></td></tr></table>')"""
@@ -63,7 +63,7 @@ CANDIDATES_SQL = f"""select {_ASIN_SQL} as asin, case when page_id % 10 >= 8 the
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumn("asin", F.expr(ASIN)).withColumn("html", F.expr(HTML))
+    return spread_table(spark, sf_dir, "pages").withColumn("asin", F.expr(ASIN)).withColumn("html", F.expr(HTML))
 
 
 def p1_p7_product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import images, labelling, ledger, matching, pages, pivot, reque
 from ..sources.tables import export_products
 from ..streaming.logs import request_windows
 from . import label_queries, page_queries, rule_queries
-from .bindings import AS_OF, HEADERS, PATTERNS, PRODUCTS, RULES, bound, ctes, rule_values, table
+from .bindings import AS_OF, HEADERS, PATTERNS, PRODUCTS, RULES, bound, ctes, rule_values, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,7 @@ CLEAN_SQL = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
 
 
 def _clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("t"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("t"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ hits as (select * from places p where not exists (select 1 from places q where q
 
 def _clean_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations, as long as reviews are."""
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tx.clean_text(F.col("text")).alias("t"))
+    return spread_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tx.clean_text(F.col("text")).alias("t"))
 
 
 def _hits(spark: SparkSession, sf_dir: str, indexed: bool) -> DataFrame:
@@ -174,7 +174,7 @@ def a5_match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sc1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tx.clean_text(F.col("text"), tx.phrase_steps({"von der": "of the"}), None)
     t = F.regexp_replace(t, "^the ", "")
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.char_length("t").alias("chars"), F.substring("t", 1, 40).alias("head"), F.md5("t").alias("digest"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.char_length("t").alias("chars"), F.substring("t", 1, 40).alias("head"), F.md5("t").alias("digest"))
 
 
 @query("select p_partkey, trim(concat_ws(' ', nullif(trim(case when p_size % 5 = 0 then null else p_name end), ''), nullif(trim(p_brand), ''), nullif(trim(case when p_size % 2 = 0 then ' ' else p_type end), ''))) as merged, case when p_size % 5 = 0 then trim(p_type) else trim(p_name) end as content from part")
@@ -191,7 +191,7 @@ def sc5_pf7_bad_by_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {LABELLED_SQL} select l.doc_id, case when mood <> '' or place <> '' or form <> '' or regexp_matches(t, 'stupid|idiot') then '是' else '否' end as bad from labelled l join clean using (doc_id)")
 def pf6_bad_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = [rules.Rule(r.header, "en_fallback", r.ord, r.pattern, r.label) for r in RULES]
-    out = labelling.label_reviews(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [*flat, *PATTERNS], negative="stupid|idiot", bad="bad")
+    out = labelling.label_reviews(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [*flat, *PATTERNS], negative="stupid|idiot", bad="bad")
     return out.select("doc_id", "bad")
 
 
@@ -497,7 +497,7 @@ def pf10_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, len(regexp_extract_all(html, '<a href=\"'))::int as links from pages")
 def h5_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = pages.parse_pages(table(spark, sf_dir, "pages").withColumn("asin", F.col("page_id").cast("string")))
+    parsed = pages.parse_pages(spread_table(spark, sf_dir, "pages").withColumn("asin", F.col("page_id").cast("string")))
     return parsed.select("page_id", F.coalesce("page.page_lang", F.lit("")).alias("lang"), F.size("page.links").alias("links"))
 
 

@@ -31,21 +31,25 @@ def bounded(table: DataFrame, most: int = MOST_RULES) -> DataFrame:
     return table
 
 
-def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame, by: list[str] = ()) -> DataFrame:
-    """names(name) with the header that each means: the same name, an alias, or the first that holds the name's stem.
+def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """names(name) with the header that each means, see header_of_name(). headers: header, ord. aliases: alias, header.
 
-    headers: header, ord. aliases: alias, header. `by`: columns of all three within which names are looked up. A
-    name's stem is what stands before the word for label. The table of headers is small and broadcast.
+    Headers and aliases are small: one row holds them all.
     """
-    by = list(by)
-    exact = headers.select(*by, F.col("header").alias("name"), F.col("header").alias("same")).dropDuplicates([*by, "name"])
-    alias = aliases.join(headers.select(*by, "header"), [*by, "header"], "left_semi").select(*by, F.col("alias").alias("name"), F.col("header").alias("by_alias")).dropDuplicates([*by, "name"])
-    told, own = names.distinct(), bounded(headers).select(*[F.col(c).alias(f"__{c}") for c in by], "header", "ord")
-    stem = F.regexp_replace("name", "标签$", "")
-    held = [*[told[c] == own[f"__{c}"] for c in by], stem != "", F.contains(own["header"], stem)]
-    by_stem = told.join(F.broadcast(own), held).groupBy(*by, "name").agg(F.min_by("header", "ord").alias("by_stem"))
-    out = told.join(exact, [*by, "name"], "left").join(alias, [*by, "name"], "left").join(by_stem, [*by, "name"], "left")
-    return out.select(*by, "name", F.coalesce("same", "by_alias", "by_stem").alias("header"))
+    own = bounded(headers).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "header"))), lambda h: h["header"]).alias("__headers"))
+    told = bounded(aliases).dropDuplicates(["alias"]).agg(F.map_from_entries(F.collect_list(F.struct("alias", "header"))).alias("__aliases"))
+    one = F.broadcast(own.withColumn("__one", F.lit(1)).join(told.withColumn("__one", F.lit(1)), "__one"))
+    return names.withColumn("__one", F.lit(1)).join(one, "__one").select("name", header_of_name(F.col("name"), F.col("__headers"), F.col("__aliases")).alias("header"))
+
+
+def header_of_name(name: Column, headers: Column, aliases: Column) -> Column:
+    """The header that a name means: the same name, an alias, or the first header that holds the name's stem; else null.
+
+    headers: an array in order. aliases: a map to headers. A name's stem is what stands before the word for label.
+    """
+    alias, stem = F.try_element_at(aliases, name), F.regexp_replace(name, "标签$", "")
+    held = F.get(F.filter(headers, lambda h: F.contains(h, stem)), F.lit(0))
+    return F.when(F.array_contains(headers, name), name).when(F.array_contains(headers, alias), alias).when(stem != "", held)
 
 
 def merge_rule_sources(sources: list[DataFrame]) -> DataFrame:
@@ -111,41 +115,33 @@ def compile_rules(configs: DataFrame, sheet: DataFrame | None = None) -> DataFra
     less than a cluster are retired, as are patterns whose label a semantic group covers. Foreign keywords are the
     fallback of their header, or of the header that has their label.
     """
-    c = configs.select("config_id", F.from_json("config", CONFIG).alias("c"))
-    key = ["config_id", "name"]
-    headers = c.select("config_id", F.posexplode("c.output_columns").alias("ord", "header"))
-    aliases = c.select("config_id", F.explode("c.header_alias_map").alias("alias", "header"))
-    levels = F.coalesce("c.label_priority_order", F.array(*map(F.lit, LEVELS)))
-    clusters = c.select("config_id", levels.alias("levels"), F.explode("c.exact_semantic_clusters").alias("name", "own")).select(*key, "own", F.posexplode("levels").alias("pri", "level"))
-    clusters = clusters.select(*key, "pri", F.try_element_at("own", F.col("level")).alias("words")).withColumn("label", strip(F.get("words", F.lit(0)))).filter("label <> ''")
-    clusters = clusters.select(*key, "pri", "label", F.posexplode("words").alias("at", "keyword")).withColumn("ord", F.col("pri") * 10_000 + F.col("at")).drop("at")
-    exact = c.select("config_id", F.explode("c.exact_rules").alias("name", "own")).select(*key, F.posexplode("own").alias("ord", "keyword", "label"))
-    fuzzy = c.select("config_id", F.explode("c.fuzzy_rules").alias("name", "own")).select(*key, F.posexplode("own").alias("ord", "rule"))
-    fuzzy = fuzzy.select(*key, "ord", F.get("rule", F.lit(0)).alias("pattern"), F.get("rule", F.lit(1)).alias("label"))
-    groups = c.select("config_id", F.explode("c.semantic_groups").alias("name", "own")).select(*key, F.posexplode("own").alias("nth", "group", "g"))
-    groups = groups.select(*key, "nth", strip(F.col("g.label")).alias("label"), F.posexplode_outer("g.patterns").alias("ord", "phrase")).filter("label <> ''").withColumn("phrase", strip(F.col("phrase")))
-    used = c.filter(F.lower(F.trim(F.coalesce("c.en_map_mode", F.lit(FALLBACK_ONLY)))) == FALLBACK_ONLY)
-    entries = used.select("config_id", F.exists(F.map_values("c.en_keyword_to_label_map"), lambda v: v.startswith("{")).alias("nested"), F.posexplode("c.en_keyword_to_label_map").alias("ord", "k", "v"))
-    by_header = entries.filter(F.col("nested") & F.col("v").startswith("{")).select("config_id", F.col("k").alias("name"), F.posexplode(F.from_json("v", "map<string,string>")).alias("ord", "keyword", "label"))
+    # configurations are parsed once and kept, as few as they are: each section is asked for several times
+    c = configs.select("config_id", F.from_json("config", CONFIG).alias("c")).select("config_id", "c.*").persist()
+    none = F.array().cast("array<string>")
+    full = lambda name: F.concat_ws(_BETWEEN, "config_id", F.coalesce(header_of_name(name, F.coalesce("output_columns", none), F.col("header_alias_map")), name)).alias("header")
+    section = lambda column: c.select("*", F.explode(column).alias("name", "own")).withColumn("header", full(F.col("name")))
+    levels = F.coalesce("label_priority_order", F.array(*map(F.lit, LEVELS)))
+    clusters = section("exact_semantic_clusters").select("header", "own", F.posexplode(levels).alias("pri", "level"))
+    clusters = clusters.select("header", "pri", F.try_element_at("own", F.col("level")).alias("words")).withColumn("label", strip(F.get("words", F.lit(0)))).filter("label <> ''")
+    clusters = clusters.select("header", "pri", "label", F.posexplode("words").alias("at", "keyword")).withColumn("ord", F.col("pri") * 10_000 + F.col("at")).drop("at")
+    exact = section("exact_rules").select("header", F.posexplode("own").alias("ord", "keyword", "label"))
+    fuzzy = section("fuzzy_rules").select("header", F.posexplode("own").alias("ord", "rule"))
+    fuzzy = fuzzy.select("header", "ord", F.get("rule", F.lit(0)).alias("pattern"), F.get("rule", F.lit(1)).alias("label"))
+    groups = section("semantic_groups").select("header", F.posexplode("own").alias("nth", "group", "g"))
+    groups = groups.select("header", "nth", strip(F.col("g.label")).alias("label"), F.posexplode_outer("g.patterns").alias("ord", "phrase")).filter("label <> ''").withColumn("phrase", strip(F.col("phrase")))
+    used = c.filter(F.lower(F.trim(F.coalesce("en_map_mode", F.lit(FALLBACK_ONLY)))) == FALLBACK_ONLY)
+    entries = used.select("*", F.exists(F.map_values("en_keyword_to_label_map"), lambda v: v.startswith("{")).alias("nested"), F.posexplode("en_keyword_to_label_map").alias("ord", "k", "v"))
+    by_header = entries.filter(F.col("nested") & F.col("v").startswith("{")).select(full(F.col("k")), F.posexplode(F.from_json("v", "map<string,string>")).alias("ord", "keyword", "label"))
     by_label = entries.filter(~F.col("nested")).select("config_id", "ord", F.col("k").alias("keyword"), F.col("v").alias("label"))
-
-    told = None if sheet is None else read_rule_sheet(sheet, ["config_id"]).withColumnRenamed("header", "name").withColumn("ord", F.lit(0))
-    parts = {"clusters": clusters, "exact": exact, "fuzzy": fuzzy, "groups": groups, "by_header": by_header} | ({} if told is None else {"told": told})
-    every = None
-    for section, part in parts.items():
-        part = part.withColumn("section", F.lit(section))
-        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
-    resolved = resolve_header(every.select(*key), headers, aliases, ["config_id"]).select(*key, F.concat_ws(_BETWEEN, "config_id", F.coalesce("header", "name")).alias("header"))
-    # each section is asked for several times below: all are kept, as few as they are
-    every = every.join(resolved, key).persist()
-    of = lambda section: every.filter(F.col("section") == section).select("header", *[c for c in parts[section].columns if c not in key])
-    clusters, exact, fuzzy, groups, by_header = map(of, ("clusters", "exact", "fuzzy", "groups", "by_header"))
+    told = None
+    if sheet is not None:
+        told = read_rule_sheet(sheet, ["config_id"]).withColumnRenamed("header", "name").join(c.select("config_id", "output_columns", "header_alias_map"), "config_id", "left")
+        told = told.select(full(F.col("name")), "keyword", "label", "stage", F.lit(0).alias("ord"))
 
     base = retire_covered(merge_rule_sources([clusters, exact]), clusters)
     some = group_patterns(groups.filter("phrase <> ''"), ["header", "label", "nth"]).select("header", (F.col("nth") + MOST_RULES).alias("ord"), "pattern", "label")
     patterns = retire_patterns(fuzzy.select("header", "ord", strip(F.col("pattern")).alias("pattern"), strip(F.col("label")).alias("label")).unionByName(some), groups)
     if told is not None:
-        told = of("told")
         base = merge_rule_sources([base.select("header", "keyword", "label", (F.col("source_rank") * MOST_RULES + F.col("ord")).alias("ord")), told.filter("stage = 'exact'")])
         patterns = patterns.unionByName(told.filter("stage = 'fuzzy'").select("header", (F.col("ord") + 2 * MOST_RULES).alias("ord"), F.col("keyword").alias("pattern"), "label"))
     base = base.select("header", F.lit("exact").alias("stage"), (F.col("source_rank") * 10 * MOST_RULES + F.col("ord")).alias("ord"), F.col("keyword").alias("pattern"), "label")

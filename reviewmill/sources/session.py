@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(out))
     _shipped.add(sc.applicationId)
+
+
+#: A table of one file below this is dealt to all cores.
+ONE_FILE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is one small file, dealt to all cores: else one task has it, however much work its rows are.
+
+    Any other table stays as it is read, without a shuffle.
+    """
+    files = df.inputFiles()
+    if len(files) != 1:
+        return df
+    size = df.sparkSession.read.format("binaryFile").load(files[0]).select("length").first()[0]
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ONE_FILE else df
