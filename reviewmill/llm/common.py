@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import ship  # noqa: F401  the operators take it from here
+from ..sources.session import ship, spread  # noqa: F401  the operators take ship from here
 
 #: Keys with more than 1/HOT_KEYS of all rows: there are fewer than HOT_KEYS of them. Parts that each is dealt to.
 HOT_KEYS, HOT_PARTS = 4096, 64
@@ -23,7 +23,7 @@ _made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(text: Column) -> Column:

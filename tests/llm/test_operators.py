@@ -179,6 +179,24 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_docs(docs, empty).filter("predicted = 1").count() == 0
 
 
+def test_scores_by_brute_force(spark, docs, rows):
+    """Every document's score from the model's weights alone, sentence by sentence."""
+    rng = random.Random(17)
+    model = toxicity.Model({w[:n] + end: rng.uniform(-3, 9) for w in WORDS for n, end in ((4, ""), (6, ""), (len(w), "$")) if len(w) >= n and rng.random() < 0.4}, -9.0)
+    got = {r.doc_id: r for r in toxicity.score_docs(docs, model).collect()}
+    for r in rows:
+        left, offending = 1.0, []
+        for s in re.split(r"[.!?\n]+", r[1] or ""):
+            own = [sum(model.weights.get(f, 0) for f in [w + "$", *[w[:n] for n in (4, 5, 6, 7) if len(w) >= n]]) for w in set(re.findall(r"[^\W\d_]+", s.lower()))]
+            if any(own):
+                p = 1 / (1 + np.exp(-(model.bias + sum(own))))
+                left *= 1 - p
+                offending += [s.strip()] if p >= 0.5 else []
+        assert got[r[0]].score == pytest.approx(1 - left, abs=1e-9) and got[r[0]].predicted == int(1 - left >= 0.5)
+        assert got[r[0]].offending == (offending if 1 - left >= 0.5 else [])
+    assert 20 < sum(g.predicted for g in got.values()) < len(rows) - 20
+
+
 def test_fit_passes_over_a_text_too_long(spark, monkeypatch):
     data = [(i, f"{'vileword' if i % 2 else 'lorem'} number{i}. ipsum", i % 2) for i in range(60)]
     df = spark.createDataFrame([(-1, "x" * 5000, 1), *data], "doc_id long, text string, toxic int")
