@@ -39,7 +39,7 @@ OPPOSITES = {
     "假得明显": "非常逼真", "材质差": "材质好", "质量差": "质量好", "不稳": "很稳固", "容易倒": "很稳固",
 }
 MULTI_HEADERS = ["外观标签", "用户体验标签", "功能标签"]
-# Of a group, the first found in the text stays ("first"), or the first in this order.
+# Groups of labels of which one stays: of SIZE_GROUP the first in the text, of the others the first here.
 SIZE_GROUP = ["尺寸小", "尺寸大", "尺寸合适", "尺寸错误"]
 EXCLUSIVE = {
     "外观标签": [["颜色不好看", "颜色好看"], ["外观不好看", "外观好看"]],

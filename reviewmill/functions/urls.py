@@ -26,6 +26,7 @@ def upgrade(url: Column) -> Column:
 
     A url without a size gets LARGE without a dot in front, and one that is large already gets it twice.
     """
+    # Fixed value: how a size is written in a url.
     plain = F.regexp_replace(url, r"\._[A-Z]{2,3}_[A-Z]{2}\d+_", ".")
     return F.regexp_replace(plain, r"\.([a-z]+)$", f"{LARGE}.$1")
 
@@ -43,6 +44,7 @@ def file_name(asin: Column, index: Column, url: Column) -> Column:
 
 def hires_urls(html: Column) -> Column:
     """Urls of "hiRes" entries, unescaped, https only, each once, in order."""
+    # Fixed value: how an entry is written in a page.
     raw = F.regexp_extract_all(html, F.lit(r'"hiRes"\s*:\s*"([^"]+)"'), 1)
     plain = F.transform(raw, lambda u: F.replace(F.replace(F.replace(u, F.lit("\\/"), F.lit("/")), F.lit("\\u0026"), F.lit("&")), F.lit("\\u002F"), F.lit("/")))
     return F.array_distinct(F.filter(plain, lambda u: u.startswith("https://")))
@@ -62,6 +64,7 @@ def page_image_urls(html: Column) -> Column:
     images = F.regexp_extract_all(html, F.lit(r"""<img\b[^>]*\bsrc=["']([^"']+)["']"""), 1)
     known = lambda u: F.exists(F.array(*map(F.lit, IMAGE_HOSTS)), lambda h: F.contains(u, h)) & F.exists(F.array(*map(F.lit, SIZE_MARKS)), lambda m: F.contains(u, m))
     scripts = F.regexp_extract_all(html, F.lit(r"""(?s)<script type="text/javascript">(.*?)</script>"""), 1)
+    # Fixed value: an image's url in a script.
     script = r"""https://[^"']+(?:images-na\.ssl-images-amazon|m\.media-amazon)\.com/images/I/[^"']+\.(?:jpg|jpeg|png)"""
     found = F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(script), 0)))
     web = lambda u: u.startswith("http")

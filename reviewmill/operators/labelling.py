@@ -65,6 +65,7 @@ def bonus(seg: Column, start: Column, polarity: Column, says: Column) -> Column:
         degree = F.when(left.rlike(words), points).otherwise(degree)
     good, bad = polarity > 0, polarity < 0
     one = lambda which, points: F.when(which, points).otherwise(0)
+    # The points of each.
     total = degree + one((good & says["better"]) | (bad & says["worse"]), 3) + one(says["alike"], F.when(bad, 2).otherwise(1))
     return total + one(good & says["conceded"], 4) + one(good & says["expected"], 4) + one(bad & says["mismatch"], 5) + one((polarity == 0) & says["neutral"], 2)
 
