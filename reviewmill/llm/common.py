@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +107,23 @@ def prefix_sums(df: DataFrame, group: list[str], block: str, order: list[Column]
     totals = df.groupBy(*group, block).agg(F.sum("__value").alias("__total"))
     starts = totals.withColumn("__start", F.coalesce(F.sum("__total").over(over_blocks), F.lit(0))).drop("__total")
     return df.join(starts, [*group, block]).withColumn(out, F.col("__start") + F.coalesce(F.sum("__value").over(in_block), F.lit(0))).drop("__start", "__value")
+
+
+def arrow_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key of a task's rows, which are sorted by keys. A key's rows fit in memory together."""
+    held: list[pa.RecordBatch] = []
+    name: tuple | None = None
+    for batch in batches:
+        own = [batch.column(k).to_pylist() for k in keys]
+        names = list(zip(*own))
+        lo = 0
+        for i in range(1, len(names) + 1):
+            if i == len(names) or names[i] != names[lo]:
+                if held and names[lo] != name:
+                    yield name, pa.Table.from_batches(held)
+                    held = []
+                name = names[lo]
+                held.append(batch.slice(lo, i - lo))
+                lo = i
+    if held:
+        yield name, pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ tested against brute force and the libraries.
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, ranking
 from .common import BLOCK_ROWS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,4 +71,4 @@ from words left join sizes using (doc_id) left join (select doc_id, min(other) a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_diagonals": licenses.oracle(), "op2_exact_dedup": EXACT, "op3_mix_sources": _mix(), "op6_warc_chunks": WARC, "op10_near_dups": NEAR}
+    return {"op1_license_diagonals": licenses.oracle(), "op2_exact_dedup": EXACT, "op3_mix_sources": _mix(), "op6_warc_chunks": WARC, "op10_near_dups": NEAR, "op11_tput_search": ranking.oracle()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, sharding, tokens, toxicity, warc
+from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, ranking, sharding, tokens, toxicity, warc
 from .common import table
 
 SHARDS = 24
@@ -61,5 +61,9 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.link(table(spark, sf_dir, "documents"), k=2)
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
