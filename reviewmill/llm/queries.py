@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, ranking, sharding, tokens, toxicity, warc
+from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, ranking, sharding, tokens, toxicity, warc, whitening
 from .common import table
 
 SHARDS = 24
@@ -65,5 +65,9 @@ def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def _exact_rows(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r: Ranking = known.value
         for _, group in arrow_groups(batches, ["block"]):
-            asked = group.filter(pa.compute.equal(group.column("term"), _NAMES))
+            asked = group.filter(pc.equal(group.column("term"), _NAMES))
             lists = _lists(group, r) if asked.num_rows else {}
             item, doc = asked.column("item").to_numpy(), asked.column("doc").to_numpy()
             score = np.zeros(len(item), np.int64)
