@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dups, pieces, quality, ranking, sharding, tokens, toxicity, warc, whitening
+from . import exact_dedup, licenses, mixing, near_dups, packing, pieces, quality, ranking, sharding, tokens, toxicity, warc, whitening
 from .common import table
 
 SHARDS = 24
 #: File of the word-level tokenizer, and the id that ends a document.
 WORD_BPE, END_ID = "word_bpe_49k.json", 2
+#: File of the byte-level tokenizer, the id that ends a document, and the most ids of a sequence.
+BYTE_BPE, BYTE_END, SEQUENCE = "byte_bpe_50k.json", 0, 2048
 #: File of the SentencePiece model.
 PIECE_BPE = "piece_bpe_32k.model"
 
@@ -69,5 +71,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_END, SEQUENCE)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
