@@ -31,7 +31,7 @@ MEMORY = 250_000
 #: Rounds of the fit.
 ROUNDS = 200
 #: Parts of the fit that are tried.
-SHARES = (1.0, 0.9, 0.75, 0.5)
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
 #: Bytes of ids in a batch that a task hands over, about.
 BATCH_BYTES = 4 << 20
 
