@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +22,8 @@ BLOCK_ROWS = 2000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _scratch: dict[str, str] = {}
-_made: list[str] = []
+#: The folder of the run that scratch tables are made for, in this thread.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    _made.append(path := f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return path
+    return f"{_owner.get() or scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -60,21 +62,50 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str, spent: DataFrame | None = None) -> DataFrame:
-    """materialise(build()), after which the tables that build() has left in the shared folder go, and a spent one."""
-    own = len(_made)
-    out = materialise(build(), label)
-    gone = [p for p in _made[own:] if not p.startswith(_made[-1])] + [p for p in _made[:own] if spent is not None and any(f.startswith(p) for f in spent.inputFiles())]
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.remove(path)
-    return out
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a key of their own for rows, `__row`: doc_ids may be null or repeat."""
-    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+@dataclass
+class Settled:
+    """Rows that are written to a folder of their own, until drop()."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        remove(self.rows.sparkSession, self.path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> Settled:
+    """build()'s rows, written. What build() makes goes to a folder that this run owns, and that folder goes then.
+
+    Other runs, also those of other threads meanwhile, have folders of their own.
+    """
+    path = fresh_path(spark, label)
+    before = _owner.set(own := f"{path}-run")
+    try:
+        rows = build()
+        rows.write.parquet(path)
+    finally:
+        _owner.reset(before)
+        remove(spark, own)
+    return Settled(spark.read.schema(rows.schema).parquet(path), path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be no column of df, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of their own for rows, and that column's name: doc_ids may be null or repeat."""
+    row = free_name(docs, "__row")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def attach_by_key(facts: DataFrame, dims: DataFrame, key: str, size: str, total: int) -> DataFrame:

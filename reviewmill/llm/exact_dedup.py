@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach_by_key, materialise, ship
+from .common import ascii_lower, attach_by_key, free_name, materialise, ship
 
 #: Distinct digests in a bucket, on average: about 0.5 MB of index, whatever the input.
 BUCKET_KEYS = 8192
@@ -151,6 +151,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     The row is found again by its text and id, so different texts that share a doc_id all stay.
     """
     name = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("string"))
-    kept = exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(name(F.col("text_sha256")).alias("__name"))
-    named = docs.withColumn("__name", name(F.lower(F.hex(digest_of(F.col("text"))))))
-    return named.join(kept, "__name", "left_semi").dropDuplicates(["__name"]).select(*docs.columns)
+    own = free_name(docs, "__name")
+    kept = exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(name(F.col("text_sha256")).alias(own))
+    named = docs.withColumn(own, name(F.lower(F.hex(digest_of(F.col("text"))))))
+    return named.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, blocks_for, hash32, materialise, numbered, prefix_sums
+from .common import attach_by_key, blocks_for, free_name, hash32, materialise, numbered, prefix_sums
 
 #: Weights of the sources in code-point order, repeating; and the mix's size as a fraction of all sizes.
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST_COPIES = (3, 1, 2), 3, 2, 2
@@ -48,17 +48,17 @@ def _key():
 
 
 def systematic_copies(rows: DataFrame, total: int, seed: int = 7) -> DataFrame:
-    """Adds `copies` to rows (key, doc_id, size, and expected copies in UNITs).
+    """Adds `copies` to rows (key, doc_id, size, mark, and expected copies in UNITs).
 
-    Within a key, documents are dealt into blocks by a hash and lie in order of size in each block, up and down in
+    Within a key, documents are dealt into blocks by a hash of id and mark (a hash of the text: ids may be null or repeat) and lie in order of size in each block, up and down in
     turn. Expected copies are prefix-summed over that order, one random offset is added, and a document is emitted
     once for each whole copy that the sum passes in it. The offset is a hash of the key and the seed, so all is a
     function of ids, sizes and the seed, and reruns agree.
     """
-    block = F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"))), F.lit(blocks_for(total)))
+    block = F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"), F.col("mark"))), F.lit(blocks_for(total)))
     rows = rows.withColumn("block", block)
     turn = F.when(F.col("block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    rows = prefix_sums(rows, ["key"], "block", [turn, F.col("doc_id")], F.col("expected"), "before")
+    rows = prefix_sums(rows, ["key"], "block", [turn, F.col("doc_id"), F.col("mark")], F.col("expected"), "before")
     offset = F.pmod(hash32(F.concat_ws(":", F.lit(str(seed)), F.col("key"))), F.lit(UNIT))
     copies = F.expr(f"(offset + before + expected) div {UNIT} - (offset + before) div {UNIT}")
     return rows.withColumn("offset", offset).withColumn("copies", copies).drop("offset", "n_docs")
@@ -76,7 +76,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def _plan(docs: DataFrame, *keys: str) -> DataFrame:
     """mix_plan with further columns of docs."""
-    rows = materialise(docs.select("doc_id", *keys, "source", _key().alias("key"), n_words(F.col("text")).alias("size")), "sizes")
+    rows = materialise(docs.select("doc_id", *keys, "source", _key().alias("key"), n_words(F.col("text")).alias("size"), hash32(F.coalesce("text", F.lit(""))).alias("mark")), "sizes")
     sizes = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = materialise(source_targets(sizes).select("key", "n_docs", "source_size", "target"), "targets")
     total = rows.count()
@@ -88,6 +88,8 @@ def _plan(docs: DataFrame, *keys: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, all their columns."""
-    rows = numbered(docs)
-    plan = _plan(rows, "__row").filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
-    return rows.join(plan, "__row").select(*docs.columns)
+    rows, row = numbered(docs)
+    plan = _plan(rows.select("doc_id", "text", "source", row), row).filter("copies > 0").select(row, "copies")
+    times = free_name(rows, "__times")
+    many = rows.join(plan.withColumnRenamed("copies", times), row).withColumn(free_name(rows, "__copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return many.select(*docs.columns)

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import attach_by_key, materialise, numbered, ship
 
-#: Coordinates of a sketch, and coordinates of a band. At a similarity of 0.8 a pair shares none of the 32 bands once
-#: in 20 million pairs.
-COORDINATES, BAND = 128, 4
-#: A pair whose sketches agree in fewer coordinates isn't compared: at 0.8 the mean is 102 and the deviation 4.5.
-LEAST_AGREEING = 76
+#: Coordinates of a sketch, and how often a pair of the least similarity may share no band.
+COORDINATES, MISSED = 128, 1e-7
+#: A pair whose sketches agree in so many deviations fewer coordinates than the mean of the least similarity isn't compared.
+DEVIATIONS = 5.8
 #: Documents of a block and their shingles, at most: a block with a longer document holds this one only. Pairs with one
 #: leader that are handled together.
 BLOCK, BLOCK_SHINGLES, LEADER_ROWS = 256, 1 << 21, 2000
@@ -27,6 +26,23 @@ COPIES = 3
 _ROUND_BITS = np.uint64(48)
 
 
+def band_width(percent: int) -> int:
+    """Coordinates of a band: the most for which a pair of this similarity shares none once in 1 / MISSED pairs at most.
+
+    At 80 there are 32 bands of 4, at 50 there are 64 of 2. Below 12 not even bands of one coordinate are enough.
+    """
+    miss = [(1 - (percent / 100) ** width) ** (COORDINATES // width) for width in range(1, 9)]
+    if not 0 < percent <= 100 or miss[0] > MISSED:
+        raise ValueError(f"sketches of {COORDINATES} coordinates don't find pairs of a similarity of {percent} %")
+    return max(width for width, m in enumerate(miss, 1) if m <= MISSED)
+
+
+def least_agreeing(percent: int) -> int:
+    """Of 128 coordinates, 76 at 80 and 31 at 50."""
+    s = percent / 100
+    return max(0, math.floor(COORDINATES * s - DEVIATIONS * math.sqrt(COORDINATES * s * (1 - s))))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,17 +84,17 @@ def sketch(elements: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    groups = s.reshape(-1, BAND)
+def band_keys(s: np.ndarray, width: int = 4) -> np.ndarray:
+    groups = s[: len(s) // width * width].reshape(-1, width)
     x = np.arange(len(groups), dtype=np.uint64) + np.uint64(1)
-    for j in range(BAND):
+    for j in range(width):
         x = _mix(x ^ groups[:, j])
     return x.view(np.int64)
 
 
-def _sketch_rows(k: int):
+def _sketch_rows(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = COORDINATES // BAND
+        bands = COORDINATES // width
         for batch in batches:
             n, digests, keys, marks = [], [], [], []
             for text in batch.column(3).cast(pa.binary()):
@@ -86,7 +102,7 @@ def _sketch_rows(k: int):
                 n.append(len(elements))
                 digests.append(xxhash.xxh3_128_digest(elements.tobytes()))
                 s = sketch(elements) if len(elements) else np.zeros(COORDINATES, np.uint64)
-                keys.append(band_keys(s))
+                keys.append(band_keys(s, width))
                 marks.append((_mix(s) >> np.uint64(56)).astype(np.uint8).tobytes())
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands)
@@ -182,7 +198,8 @@ def block_edges(comp: np.ndarray, side: np.ndarray, marks: np.ndarray, sets: lis
     i, j = one[i], two[j]
     if not side.any():
         i, j = i[i < j], j[i < j]
-    near = [(marks[i[lo : lo + 4096]] == marks[j[lo : lo + 4096]]).sum(axis=1) >= LEAST_AGREEING for lo in range(0, len(i), 4096)]
+    least = least_agreeing(percent)
+    near = [(marks[i[lo : lo + 4096]] == marks[j[lo : lo + 4096]]).sum(axis=1) >= least for lo in range(0, len(i), 4096)]
     near = np.concatenate(near) if near else np.zeros(0, bool)
     i, j = i[near], j[near]
     if not len(i):
@@ -282,10 +299,12 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     b = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
     sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
+    least = least_agreeing(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     return materialise(sized.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"), "plausible")
 
@@ -343,7 +362,7 @@ def link_nodes(reps: DataFrame, sets_of, percent: int) -> DataFrame:
     only edges that join components: never more rows than it has read.
     """
     placed = reps.select("node", "n", F.explode("bands").alias("key"))
-    total = reps.count() * (COORDINATES // BAND)
+    total = reps.count() * (COORDINATES // band_width(percent))
     shared = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     members = materialise(attach_by_key(placed, shared, "key", "size", total), "members")
     total = members.count()
@@ -409,7 +428,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("told", F.xxhash64("doc_id", "text"))
     schema = "node long, told long, doc_id long, n_shingles long, digest binary, bands array<long>, marks binary"
-    rows = texts.select(F.monotonically_increasing_id().alias("node"), "told", "doc_id", "text").mapInArrow(_sketch_rows(k), schema)
+    rows = texts.select(F.monotonically_increasing_id().alias("node"), "told", "doc_id", "text").mapInArrow(_sketch_rows(k, band_width(percent)), schema)
     rows = materialise(rows, "sketches")
     some = rows.filter("n_shingles > 0")
     classes = some.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
@@ -439,8 +458,8 @@ def drop_near_repeats(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     Every row is linked on its own, also those of a null or repeated doc_id.
     """
-    rows = numbered(docs)
-    links = link(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
-    kept = links.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
-    return rows.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    links = link(rows.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = links.join(rows.select(F.col(row).alias("row"), "doc_id"), "row").groupBy("component_id").agg(F.min(order)["row"].alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(*docs.columns)

@@ -33,7 +33,8 @@ def _mix(seed: int = 7) -> str:
     copies = f"(({offset} + before + expected) // {mixing.UNIT} - ({offset} + before) // {mixing.UNIT})"
     a, b, c = mixing.WEIGHTS
     return f"""
-with sizes as (select doc_id, source, coalesce('s' || source, 'n') as key, coalesce(len(regexp_extract_all(text, {_WORDS})), 0)::bigint as size from documents),
+with sizes as (select doc_id, source, coalesce('s' || source, 'n') as key, coalesce(len(regexp_extract_all(text, {_WORDS})), 0)::bigint as size,
+  {bits("coalesce(text, '')")} as mark from documents),
 own as (select source, key, sum(size)::bigint as source_size from sizes group by 1, 2),
 weighed as (
   select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then {a} when 1 then {b} else {c} end as weight,
@@ -46,10 +47,10 @@ level as (select num, den from ranked where cap * den >= num * weight order by c
 targets as (select key, source_size, least(cap::double, weight * level.num::bigint / level.den::bigint) as target from ranked, level),
 dealt as (
   select s.*, t.source_size, t.target, case when source_size = 0 then 0 else floor(target * {mixing.UNIT} / source_size + 0.5)::bigint end as expected,
-    {bits(f"'{seed}:' || doc_id")} % greatest(1, (select count(*) from sizes) // {BLOCK_ROWS}) as block
+    {bits(f"concat_ws(':', '{seed}', doc_id, mark)")} % greatest(1, (select count(*) from sizes) // {BLOCK_ROWS}) as block
   from sizes s join targets t using (key)),
 summed as (
-  select *, coalesce(sum(expected) over (partition by key order by block, case when block % 2 = 0 then size else -size end, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  select *, coalesce(sum(expected) over (partition by key order by block, case when block % 2 = 0 then size else -size end, doc_id, mark rows between unbounded preceding and 1 preceding), 0)::bigint as before
   from dealt)
 select doc_id, source, size, source_size, target, {copies} as copies, size * {copies} as taken from summed
 """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import blocks_for, materialise, prefix_sums, ship
+from .common import blocks_for, free_name, materialise, prefix_sums, ship
 
 #: The generator's multiplier in the published algorithm.
 _LCG = np.uint64(2862933555777941757)
@@ -59,15 +59,22 @@ def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             shard_of(key, shards).alias("shard"),
             shard_of(key, shards + 1).alias("grown_shard"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shards",
     )
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks_for(rows.count() // shards)))
+    # ids may be null or repeat, and so may rows: their number parts those
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(blocks_for(rows.count() // shards)))
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return prefix_sums(rows.withColumn("block", block), ["shard"], "block", order, F.lit(1).cast("long"), "slot").drop("block")
+    return prefix_sums(rows.withColumn("block", block), ["shard"], "block", order, F.lit(1).cast("long"), "slot").drop("block", "row")
 
 
-def write_shards(docs: DataFrame, shards: int, path: str) -> None:
-    """Writes all columns of docs to one folder a shard. A shard's rows come from many tasks, so a hot one isn't one task's."""
+def write_shards(docs: DataFrame, shards: int, path: str, name: str = "shard") -> None:
+    """Writes all columns of docs to one folder a shard. A shard's rows come from many tasks, so a hot one isn't one task's.
+
+    name: the folders' column, which docs must not have already.
+    """
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs have a column {name}; give another name for the shards")
     ship(docs.sparkSession)
-    docs.withColumn("shard", shard_of(F.col("doc_id"), shards)).write.partitionBy("shard").parquet(path)
+    docs.withColumn(name, shard_of(F.col("doc_id"), shards)).write.partitionBy(name).parquet(path)

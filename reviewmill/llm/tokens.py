@@ -197,26 +197,39 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """Encodes docs (doc_id, text) and writes one file a task, in ascending order of doc_id from file to file.
 
+    Texts are encoded where they are read: only ids move to the files' tasks. Rows that share a doc_id lie in order of a
+    hash of their texts, over several files if they are many.
+
     Returns the manifest: part (the files' order), path, n_docs, n_ids. Only files that it names count: a repeated
     task writes another file. Null texts are empty and have the end id only; null doc_ids come first; rows that
-    repeat a doc_id keep their own ids, in no set order. An empty table gives an empty manifest.
+    repeat a doc_id keep their own ids. An empty table gives an empty manifest.
     """
     ship(docs.sparkSession)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, writer, part = encoder(tokenizer), None, TaskContext.get().partitionId()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(tokenizer)
         end = code.bytes([end_id])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for lo in range(0, batch.num_rows, 1000):
+                ids = pa.array([code.encode(x.as_py()) + end for x in batch.column(2).slice(lo, 1000)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 1000) for c in batch.columns[:2]), ids], ["doc_id", "told", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, part = None, TaskContext.get().partitionId()
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if writer is None:
                     path = files.new_file(folder, f"part-{part:06d}", ".arrow")
-                    writer = SequenceWriter(path, code.dtype)
-                writer.add(doc_id, code.encode(text.as_py()) + end)
+                    writer = SequenceWriter(path, encoder(tokenizer).dtype)
+                writer.add(doc_id, ids.as_py())
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": writer.docs, "n_ids": writer.n}])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
+    rows = materialise(rows.mapInArrow(encode, "doc_id long, told long, ids binary"), "encoded")
+    # by the row's number too: rows that are alike in all may be many
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "told", "row").sortWithinPartitions("doc_id", "told", "row").select("doc_id", "ids")
     return materialise(rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -348,13 +349,71 @@ def test_write_shards(spark, docs, rows, tmp_path):
     assert got == {(r.doc_id, r.shard) for r in sharding.assign_shards(docs, 5).collect()} and len(got) == len(rows)
 
 
-def test_settled_leaves_its_result_only(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_settled_leaves_its_result_only(spark, monkeypatch, tmp_path, scheme):
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"{scheme}{tmp_path}")
+    other = common.materialise(spark.range(4), "other")
     build = lambda: common.materialise(common.materialise(spark.range(9), "a").filter("id > 2"), "b")
     first = common.settled(spark, build, "one")
-    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["one"] and first.count() == 6
-    second = common.settled(spark, lambda: first.filter("id > 5"), "two", first)
-    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["two"] and second.count() == 3
+    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["one", "oth"] and first.rows.count() == 6
+    second = common.settled(spark, lambda: first.rows.filter("id > 5"), "two")
+    first.drop()
+    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["oth", "two"] and second.rows.count() == 3 and other.count() == 4
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, lambda: common.materialise(spark.range(2), "c") and 1 / 0, "bad")
+    assert sorted(x.name[:3] for x in tmp_path.iterdir()) == ["oth", "two"]
+
+
+def test_settled_beside_another_query(spark, monkeypatch, tmp_path):
+    """A table that another thread makes meanwhile stays."""
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    made = []
+
+    def build():
+        out = common.materialise(spark.range(5), "own")
+        other = threading.Thread(target=lambda: made.append(common.materialise(spark.range(7), "other")))
+        other.start()
+        other.join()
+        return out
+
+    assert common.settled(spark, build, "one").rows.count() == 5 and made[0].count() == 7
+
+
+def test_columns_of_any_name_come_back(spark, rows, tmp_path):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__row", "__ROW_", "__name", "__part", "__times", "__copy", "shard", "Key", "Size", "block", "node", "digest"]
+    some = [r for r in rows if r[0] % 3 == 0]
+    df = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in names[5:])) for r in some], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names[5:])).repartition(3)
+    labels = spark.createDataFrame([(r[0], 0) for r in some], "doc_id long, toxic int")
+    for out in (exact_dedup.drop_repeats(df), near_dups.drop_near_repeats(df), mixing.mixed(df), toxicity.drop_toxic(df, toxicity.train(df, labels))):
+        got = out.collect()
+        assert out.columns == names and got
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names[5:])
+    with pytest.raises(ValueError):
+        sharding.write_shards(df, 3, str(tmp_path / "a"))
+    sharding.write_shards(df, 3, str(tmp_path / "b"), "dealt_to")
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "b")).collect()} == {f"shard{r[0]}" for r in some}
+
+
+def test_a_third_of_ids_null(spark):
+    """Null ids are spread over the files of tokens, over blocks of slots and over blocks of the mix."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source")).repartition(7)
+    manifest = tokens.write_tokens(docs.repartition(7), public_tokenizers.path("word_bpe_49k.json"), fresh_path(spark, "t"), 2).collect()
+    assert sum(m.n_docs for m in manifest) == 30_000 and (len(manifest) == 1 or max(m.n_docs for m in manifest) < 1.5 * 30_000 / len(manifest))
+    same = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    for df in (docs, same):
+        slots = sharding.assign_shards(df, 2)
+        assert sorted(r.slot for r in slots.filter("shard = 0").collect()) == list(range(slots.filter("shard = 0").count()))
+    seen = []
+
+    def spy(rows, group, block, *rest):
+        seen.append(max(r["count"] for r in rows.groupBy(*group, block).count().collect()))
+        return prefix_sums(rows, group, block, *rest)
+
+    for module, run in ((sharding, lambda: sharding.assign_shards(docs, 2)), (mixing, lambda: mixing.mix_plan(docs))):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "prefix_sums", spy)
+            run()
+    assert len(seen) == 2 and max(seen) < 30_000 / 9  # 10,000 if a key were one block
 
 
 def test_tokens(spark, docs, none, rows):
@@ -415,6 +474,27 @@ def test_near(docs, none, rows, k):
         assert near_dups.link(none, k).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 90])
+def test_near_at_any_percent(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(150):  # pairs about the limit
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([50, 120]))]
+        shared = round(len(a) * 2 * percent / (100 + percent)) + rng.choice([-1, 0, 1, 3])
+        b = a[:shared] + [f"x{rng.randrange(10**6)}" for _ in range(max(0, len(a) - shared))]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    want = reachable(rows, 1, percent)
+    assert got == want and sum(c != i for i, (_, c) in want.items()) > 50
+
+
+def test_bands_by_percent():
+    assert [near_dups.band_width(p) for p in (50, 80, 90)] == [2, 4, 5] and [near_dups.least_agreeing(p) for p in (50, 80, 100)] == [31, 76, 128]
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            near_dups.band_width(percent)
+
+
 def middle_leader_rows():
     """1 and 2 are similar and meet in buckets of two only; 2 leads 1 there, but 3 is a more and 4 a less famous leader of 1."""
 
