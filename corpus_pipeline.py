@@ -44,8 +44,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents. What a stage has left in the shared folder goes when the next one has its rows."""
-    docs = before = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settled(spark, lambda: stage(spark, before, sf_dir), name.replace(" ", "-"), before)  # noqa: B023
-        before = docs
+        now = settled(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023
+        if spent:
+            spent.drop()
+        docs, spent = now.rows, now
     return STAGES[-1][1](spark, docs, sf_dir)
