@@ -45,9 +45,12 @@ _PLAIN = re.compile(rf"[\t-\r -~{_LETTERS}]*")
 _CUTS = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: A word that is letters, and marks after them in which no contraction begins: two pieces.
 _SIMPLE = re.compile(rf"([{_LETTERS}]+)([!-&(-/:;=>?@\[-`{{-~]*)")
-#: Before a single space between two other characters a text can be cut: no piece goes across. Where white space meets a
-#: space, there is more to see than a word.
-_WORDS, _MET = re.compile(r"(?<=\S)(?= \S)"), re.compile(r" \s|\s ")
+#: Before a single space between two other characters a text can be cut: no piece goes across.
+_WORDS = re.compile(r"(?<=\S)(?= \S)")
+
+
+class _Met(Exception):
+    """White space meets a space, so there is more to see than words."""
 
 
 _ALPHABET = byte_alphabet()
@@ -84,10 +87,12 @@ class Encoder:
         return self.bytes([t.id for t in self.model.tokenize(seen)])
 
     def word(self, word: str) -> bytes:
-        """A word after a space."""
+        """A word after a space. One with white space at an end is none, and never remembered."""
         if simple := _SIMPLE.fullmatch(word):
             letters, marks = simple.groups()
             return self.pieces[f" {letters}"] + self.pieces[marks] if marks else self.pieces[f" {letters}"]
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Met
         return self.unit(f" {word}")
 
     def unit(self, text: str) -> bytes:
@@ -101,10 +106,13 @@ class Encoder:
             return b""
         if not self.cuts:
             return self.whole(text)
-        if _MET.search(text):
-            return b"".join(self.words[u[1:]] if u[0] == " " else self.unit(u) for u in _WORDS.split(text))
         first, *others = text.split(" ")
-        return self.unit(first) + b"".join(map(self.words.__getitem__, others))
+        try:
+            if not first[-1:].isspace():
+                return self.unit(first) + b"".join(map(self.words.__getitem__, others))
+        except _Met:
+            pass
+        return b"".join(map(self.unit, _WORDS.split(text)))
 
 
 class _Memory(dict):
@@ -332,7 +340,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = pieces.join(bases, ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("place")))
+    # as many rows as tasks times lengths: no bound for a broadcast
+    placed = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("place")))
     return placed.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
 
 
