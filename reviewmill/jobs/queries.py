@@ -12,7 +12,7 @@ from ..functions import urls
 from ..operators import images, labelling, ledger, matching, pages, pivot, requests, rules
 from ..sources.tables import export_products
 from ..streaming.logs import request_windows
-from . import label_queries, page_queries, rule_queries
+from . import label_queries, page_queries, rule_queries, text_queries
 from .bindings import AS_OF, HEADERS, PATTERNS, PRODUCTS, RULES, bound, ctes, rule_values, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,8 @@ def sc6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segs.select("doc_id", F.size("s").alias("n_segments"), F.aggregate("s", F.lit(0), lambda a, x: a + F.char_length(x["seg"])).alias("chars"), F.array_max(F.transform("s", lambda x: x["weight"])).alias("most_weight"))
 
 
+query(text_queries.H3_SQL)(text_queries.sc1_h3_translate)
+query(text_queries.H2_SQL)(text_queries.h2_pattern_index)
 query(label_queries.LABELS_SQL)(label_queries.w1_label_reviews)
 query(label_queries.STATISTICS_SQL)(label_queries.a5_label_statistics)
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import NO, YES, bad_by_star, clean_text, height_label, is_blank, let
+from ..functions.text import NO, YES, bad_by_star, height_label, is_blank, let
 from ..sources.session import ship
 from .matching import ALL_EXACT, ALL_FUZZY, drop_contained, keyword_hits, pattern_hits, rule_hits, segment_hits, segment_parts, segments
+from .rewriting import with_clean_text
 from .rules import Rule
 
 STAGES = ["exact", "fuzzy", "en_fallback"]
@@ -255,7 +256,7 @@ def label_reviews(
     """
     ship(reviews.sparkSession)
     clean = F.col("cleaned_text")
-    base = reviews.withColumn("cleaned_text", clean_text(F.col(text), steps, prefix))
+    base = with_clean_text(reviews, F.col(text), "cleaned_text", list(steps), prefix)
     if indexed or statistics:
         some = F.when(~is_blank(clean), clean)
         base = base.withColumn("__hits", rule_hits(some, segment_parts(clean), rules, lexicon.MULTI_HEADERS))

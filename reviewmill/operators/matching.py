@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from ..functions import lexicon
 from ..functions.text import let, quoted, strip
 from ..sources.session import ship
+from .literals import PatternIndex
 from .rules import Rule, bounded
 
 HIT = StructType([
@@ -152,15 +153,19 @@ class KeywordIndex:
         return {h: sorted(hits, key=lambda x: x[:3]) for h, hits in out.items()}
 
 
+def _pattern_hits(found: list[tuple[int, re.Match]], rules: list[Rule], stage: str) -> list[tuple]:
+    return [(m.start(), m.start() - m.end(), rules[i].ord, m.group(), rules[i].label, rules[i].header, stage) for i, m in found]
+
+
 class RuleIndex:
     """All rules, ready for one pass over a text and its segments. `several`: headers that take every label."""
 
     def __init__(self, rules: list[Rule], several: list[str]):
         rules = [r for r in rules if r.pattern and r.label]
         of = lambda stage, whole: [r for r in rules if r.stage == stage and (r.header in several) == whole]
-        compiled = lambda found: [(re.compile(r.pattern, re.IGNORECASE), r) for r in found]
-        self.keywords, self.patterns = KeywordIndex(of("exact", False)), compiled(of("fuzzy", False))
-        self.whole_keywords, self.whole_patterns = KeywordIndex(of("exact", True)), compiled(of("fuzzy", True))
+        self.keywords, self.fuzzy = KeywordIndex(of("exact", False)), of("fuzzy", False)
+        self.whole_keywords, self.whole_fuzzy = KeywordIndex(of("exact", True)), of("fuzzy", True)
+        self.patterns, self.whole_patterns = (PatternIndex([r.pattern for r in found]) for found in (self.fuzzy, self.whole_fuzzy))
         self.fallback = KeywordIndex(of("en_fallback", False))
 
     def groups(self, text: str, segs: list[tuple[str, int]]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -168,14 +173,14 @@ class RuleIndex:
         at = 0
         for seg, weight in segs:
             hits = [(*h[:3], h[3].pattern, h[3].label, header, "exact") for header, found in self.keywords.by_header(seg).items() for h in outermost(found)]
-            hits += [(m.start(), m.start() - m.end(), r.ord, m.group(), r.label, r.header, "fuzzy") for pattern, r in self.patterns if (m := pattern.search(seg))]
+            hits += _pattern_hits(self.patterns.search(seg), self.fuzzy, "fuzzy")
             if hits:
                 yield (seg, weight, at), hits
             at += len(seg) + 1
         hits = []
         for header, found in self.whole_keywords.by_header(text).items():
             hits += [(*h[:3], h[3].pattern, h[3].label, header, ALL_EXACT) for h in sorted(outermost(found), key=lambda x: (x[0], -x[1], x[2]))]
-        hits += [(m.start(), m.start() - m.end(), r.ord, m.group(), r.label, r.header, ALL_FUZZY) for pattern, r in self.whole_patterns if (m := pattern.search(text))]
+        hits += _pattern_hits(self.whole_patterns.search(text), self.whole_fuzzy, ALL_FUZZY)
         for header, found in self.fallback.by_header(text).items():
             h = min(found, key=lambda x: (x[1], x[0], x[2]))
             hits.append((*h[:3], h[3].pattern, h[3].label, header, "en_fallback"))
@@ -191,7 +196,8 @@ def _struct(rows: list[tuple], kind: StructType, types: list[pa.DataType]) -> pa
 def rule_hits(text: Column, parts: Column, rules: list[Rule], several: list[str]) -> Column:
     """Hits of all rules, array of GROUP: one pass in Arrow batches, linear in the text, for thousands of rules.
 
-    parts: the text's segment_parts(). Keywords lose those inside longer ones of their header. A pattern gives its
+    A pattern is run only on segments that hold one of the literals which it can't do without (one automaton finds
+    those of all patterns); a pattern without such a literal is run on all. parts: the text's segment_parts(). Keywords lose those inside longer ones of their header. A pattern gives its
     first place in each segment; for `several` headers, in the text. The fallback gives each header's longest keyword,
     the earliest of equals. Patterns are Python's. A null text has no hits. The index is built once a task.
     """
@@ -215,6 +221,12 @@ def rule_hits(text: Column, parts: Column, rules: list[Rule], several: list[str]
     return of(text, parts)
 
 
+def with_rule_hits(df: DataFrame, text: Column, parts: Column, rules: list[Rule], several: list[str], out: str) -> DataFrame:
+    """Adds rule_hits()."""
+    ship(df.sparkSession)
+    return df.withColumn(out, rule_hits(text, parts, rules, several))
+
+
 def with_indexed_hits(df: DataFrame, text: str, rules: list[Rule], out: str = "hits", contained: bool = True) -> DataFrame:
     """Adds keyword_hits() for thousands of rules: one pass of an automaton over the text, in Arrow batches.
 
