@@ -27,7 +27,7 @@ from .common import materialise, ship
 from .tokens import byte_alphabet
 
 #: Words and pieces that a worker remembers: so many of each, and as many that it is about to forget.
-MEMORY = 250_000
+MEMORY = 500_000
 #: Rounds of the fit.
 ROUNDS = 200
 #: Parts of the fit that are tried.
@@ -317,9 +317,9 @@ def make_plan(histogram: dict[int, int], size: int) -> Plan:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> DataFrame:
-    """Every piece of docs (doc_id, text) and its place: doc_id, piece, start, length, ids, sequence_id, offset.
+    """Every piece of docs (doc_id, text) and its place: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
-    A document's ids end with end_id, so a null or empty text has this one. Only longer documents than `size` are cut,
+    Who asks for no ids gets places without moving any. A document's ids end with end_id, so a null or empty text has this one. Only longer documents than `size` are cut,
     into pieces of it, of which the first may be shorter. Rows that repeat a doc_id, or have none, are packed each on
     its own. An empty table gives an empty one; other columns are not read.
 
@@ -341,8 +341,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # as many rows as tasks times lengths: no bound for a broadcast
-    placed = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("place")))
-    return placed.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    placed = pieces.withColumn("ids_crc32", F.crc32("ids")).join(bases.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("place")))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_END, SEQUENCE)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def queries():
