@@ -1,4 +1,7 @@
-"""Product fields of pages: each stored page is followed by a product's, of which the SQL knows every field."""
+"""Product fields of pages: each stored page is followed by a product's, of which the SQL knows every field.
+
+Every tenth page ends with a question for verification instead, and there is a row without a page beside every tenth.
+"""
 
 from __future__ import annotations
 
@@ -36,11 +39,14 @@ PRODUCT = f"""concat('<div>', case page_id % 2 when 0 then concat('<a id="byline
   case page_id % 2 when 0 then concat('<span id="acrCustomerReviewText">1,', lpad(page_id % 1000, 3, '0'), ' ratings</span>') else concat('<span data-hook="total-review-count">', page_id, ' ratings</span>') end,
   case page_id % 2 when 0 then {_RANKS} else {_PANEL} end, {_LAUNCH}, {_VARIANTS}, {_BULLETS}, {_DETAIL}, '</div>')"""
 ASIN = "concat('B', lpad(page_id, 9, '0'))"
-HTML = f"case page_id % 10 when 8 then null when 9 then concat(coalesce(html, ''), '<p>Enter the Characters you see below</p>') else concat(coalesce(html, ''), {PRODUCT}) end"
+HTML = f"case page_id % 10 when 9 then concat(coalesce(html, ''), '<p>Enter the Characters you see below</p>') else concat(coalesce(html, ''), {PRODUCT}) end"
 
 _ASIN_SQL = "'B' || lpad(page_id::varchar, 9, '0')"
 _THOUSAND = "'1,' || lpad((page_id % 1000)::varchar, 3, '0')"
-PRODUCTS_SQL = f"""with p as (select *, page_id % 10 < 8 as whole from pages)
+#: What is added to the id of a page for the row without one beside it.
+MISSING = 1_000_000
+_ROWS_SQL = f"select page_id, url, page_id % 10 <> 9 as whole, false as missing from pages union all select page_id + {MISSING}, url, false, true from pages where page_id % 10 = 8"
+PRODUCTS_SQL = f"""with p as ({_ROWS_SQL})
 select {_ASIN_SQL} as asin, url as link,
   case when whole then case page_id % 3 when 0 then 'https://m.media-amazon.com/images/I/' || page_id || '._AC_SX679_.jpg' when 1 then 'https://i.example/' || page_id || '.jpg' else 'https://w.example/' || page_id || '.jpg' end end as main_image,
   case when whole then 'B' || page_id % 7 end as brand, case when whole then case page_id % 2 when 0 then 'Lamp ' else 'Tree ' end || page_id end as title,
@@ -56,14 +62,17 @@ select {_ASIN_SQL} as asin, url as link,
   case when whole then case page_id % 3 when 0 then page_id % 5 + 1 when 1 then page_id % 4 + 1 else page_id % 6 + 2 end end::int as variant_count,
   case when whole and page_id % 3 = 0 then 'C' || page_id end as best_selling_color,
   case when whole then case page_id % 2 when 0 then 'long enough ' || page_id || '; another long one' else 'listed and long ' || page_id end else '' end as bullet_points,
-  case when whole then 'success' else 'failed' end as status, case page_id % 10 when 8 then 'no page' when 9 then 'verification page' end as error
+  case when whole then 'success' else 'failed' end as status, case when missing then 'no page' when not whole then 'verification page' end as error
 from p"""
-CANDIDATES_SQL = f"""select {_ASIN_SQL} as asin, case when page_id % 10 >= 8 then '' else 'https://h.example/' || page_id || '.jpg {DETAIL}' || page_id || '.jpg {DETAIL}own.jpg' ||
-  case page_id % 3 when 0 then ' https://m.media-amazon.com/images/I/' || page_id || '._AC_SX679_.jpg' when 1 then ' https://i.example/' || page_id || '.jpg' else '' end end as candidates from pages"""
+CANDIDATES_SQL = f"""select {_ASIN_SQL} as asin, case when not whole then '' else 'https://h.example/' || page_id || '.jpg {DETAIL}' || page_id || '.jpg {DETAIL}own.jpg' ||
+  case page_id % 3 when 0 then ' https://m.media-amazon.com/images/I/' || page_id || '._AC_SX679_.jpg' when 1 then ' https://i.example/' || page_id || '.jpg' else '' end end as candidates from ({_ROWS_SQL})"""
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_table(spark, sf_dir, "pages").withColumn("asin", F.expr(ASIN)).withColumn("html", F.expr(HTML))
+    stored = spread_table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    missing = stored.filter("page_id % 10 = 8").withColumn("page_id", F.col("page_id") + MISSING).withColumn("html", F.lit(None).cast("string"))
+    pages_ = stored.withColumn("asin", F.expr(ASIN)).withColumn("html", F.expr(HTML))
+    return pages_.unionByName(missing.withColumn("asin", F.expr(ASIN)))
 
 
 def p1_p7_product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

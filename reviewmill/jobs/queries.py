@@ -12,7 +12,7 @@ from ..functions import urls
 from ..operators import images, labelling, ledger, matching, pages, pivot, requests, rules
 from ..sources.tables import export_products
 from ..streaming.logs import request_windows
-from . import label_queries, page_queries, rule_queries, text_queries
+from . import label_queries, page_queries, rule_queries, store_queries, text_queries
 from .bindings import AS_OF, HEADERS, PATTERNS, PRODUCTS, RULES, bound, ctes, rule_values, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,8 @@ def sc6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(text_queries.H3_SQL)(text_queries.sc1_h3_translate)
 query(text_queries.H2_SQL)(text_queries.h2_pattern_index)
+query(store_queries.IMAGES_SQL)(store_queries.io6_h4_image_check)
+query(store_queries.IMAGE_REPORT_SQL)(store_queries.a18_image_report)
 query(label_queries.LABELS_SQL)(label_queries.w1_label_reviews)
 query(label_queries.STATISTICS_SQL)(label_queries.a5_label_statistics)
 
@@ -497,10 +499,11 @@ def pf10_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.needs_verification(F.col("html"), ["login", "track(0)"]).alias("flagged"))
 
 
-@query("select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, len(regexp_extract_all(html, '<a href=\"'))::int as links from pages")
+@query("""select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, len(regexp_extract_all(html, '<a href="'))::int as links,
+  trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) as page_title, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')) as heading from pages""")
 def h5_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = pages.parse_pages(spread_table(spark, sf_dir, "pages").withColumn("asin", F.col("page_id").cast("string")))
-    return parsed.select("page_id", F.coalesce("page.page_lang", F.lit("")).alias("lang"), F.size("page.links").alias("links"))
+    return parsed.select("page_id", F.coalesce("page.page_lang", F.lit("")).alias("lang"), F.size("page.links").alias("links"), "page.page_title", "page.heading")
 
 
 query(page_queries.PRODUCTS_SQL)(page_queries.p1_p7_product_rows)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.schemas import schema
+from ..functions.text import strip
 from ..sources.session import ship
 from .images import candidate_urls
 
@@ -23,12 +23,6 @@ DETAIL_IDS = {"aplus_feature_div", "aplus", "aplus3p_feature_div"}
 COMPARISON = {"comparison-table", "comparison-table-scroller"}
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-PARSED = (
-    "main_image string, brand string, title string, price string, promo_price string, rating_text string, count_text string, bsr_text string, "
-    "ranks array<string>, launch_text string, variants int, styles_text string, color_title string, bullets array<string>, detail_images array<string>, "
-    "page_title string, heading string, page_lang string, links array<string>"
-)
-PARSED_FIELDS = [x.split()[0] for x in PARSED.split(", ")]
 
 
 def needs_verification(html: Column, marks: list[str] = PRODUCT_MARKS) -> Column:
@@ -36,184 +30,258 @@ def needs_verification(html: Column, marks: list[str] = PRODUCT_MARKS) -> Column
     return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))
 
 
-class Node:
-    """An element: tag, attributes, children (nodes and texts) and parent."""
+#: An element as the helper gives it: what it is, its number, the last number inside it, its parent's; for a table header
+#: the first cell beside it; the range of its texts; for an image the link about it; whether a comparison block is about it.
+_NAMES = {"id": "id", "src": "src", "data-src": "data_src", "href": "href", "title": "title", "lang": "lang", "data-hook": "hook", "data-a-color": "color"}
+ELEMENT = (
+    "struct<tag: string, classes: array<string>, " + "".join(f"{x}: string, " for x in _NAMES.values())
+    + "n: int, last: int, parent: int, cell: int, t0: int, t1: int, link: string, compared: boolean>"
+)
+FLAT = f"struct<texts: array<string>, elements: array<{ELEMENT}>, problem: string>"
 
-    __slots__ = ("tag", "attrs", "children", "parent")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
+class _Flat(HTMLParser):
+    """One pass over a page: its texts, without those of scripts and styles, and its elements as rows."""
 
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: list[str] = []
+        self.rows: list[list] = []
+        self.open: list[int] = []
+        self.names: Counter[str] = Counter()  # of the open elements
+        self.cells: dict[int, int] = {}
+        self.links: list[str] = []
+        self.compared = self.silent = 0
+        self.start("", [], True)  # the page itself
+
+    def start(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> None:
+        had = {k: v or "" for k, v in attrs}
+        n, parent, classes = len(self.rows), self.open[-1] if self.open else -1, had.get("class", "").split()
+        if tag == "td" and parent >= 0:
+            self.cells.setdefault(parent, n)
+        link = self.links[-1] if tag == "img" and self.links else None
+        self.rows.append([tag, classes, *map(had.get, _NAMES), n, n, parent, None, len(self.texts), len(self.texts), link, self.compared > 0])
+        if inside:
+            self.open.append(n)
+            self.count(n, 1)
+
+    def count(self, n: int, by: int) -> None:
+        tag, classes, href = self.rows[n][0], self.rows[n][1], self.rows[n][5]
+        self.names[tag] += by
+        self.compared += by * bool(COMPARISON.intersection(classes))
+        self.silent += by * (tag in ("script", "style"))
+        if tag == "a" and href is not None:
+            self.links.append(href) if by > 0 else self.links.pop()
 
-    def walk(self) -> Iterator[Node]:
-        waiting = [self]
-        while waiting:
-            node = waiting.pop()
-            yield node
-            waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.start(tag, attrs, tag not in _VOID)
 
-    def text(self, between: str = "") -> str:
-        found, waiting = [], [self]
-        while waiting:
-            node = waiting.pop()
-            if isinstance(node, str):
-                found.append(node.strip() if between else node)
-            elif node.tag not in ("script", "style"):
-                waiting += reversed(node.children)
-        return between.join(x for x in found if x).strip()
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.start(tag, attrs, False)
 
-    def find(self, tag: str | None = None, id: str | None = None, cls: str | None = None, **attrs: str) -> Node | None:  # noqa: A002
-        return next(self.find_all(tag, id, cls, **attrs), None)
+    def shut(self) -> str:
+        n = self.open.pop()
+        self.count(n, -1)
+        self.rows[n][_LAST], self.rows[n][_T1] = len(self.rows) - 1, len(self.texts)
+        return self.rows[n][0]
 
-    def find_all(self, tag: str | None = None, id: str | None = None, cls: str | None = None, **attrs: str) -> Iterator[Node]:  # noqa: A002
-        for n in self.walk():
-            if n is not self and (tag is None or n.tag == tag) and (id is None or n.attrs.get("id") == id) and (cls is None or cls in n.classes):
-                if all(n.attrs.get(k.replace("_", "-")) == v for k, v in attrs.items()):
-                    yield n
+    def handle_endtag(self, tag: str) -> None:
+        while self.names[tag] and self.shut() != tag:
+            pass
 
-    def above(self) -> Iterator[Node]:
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+    def handle_data(self, data: str) -> None:
+        if not self.silent:
+            self.texts.append(data)
 
+    def done(self) -> tuple[list[str], list[list]]:
+        self.close()
+        self.handle_endtag("")
+        for row in self.rows:
+            if row[0] == "th":
+                row[_CELL] = self.cells.get(row[_PARENT])
+        return self.texts, self.rows
 
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
+_N, _LAST, _PARENT, _CELL, _T0, _T1 = range(2 + len(_NAMES), 8 + len(_NAMES))
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
-    def handle_endtag(self, tag: str) -> None:
-        for node in [self.at, *self.at.above()]:
-            if node.tag == tag:
-                self.at = node.parent or self.root
-                return
+def flatten(html: str) -> tuple[list[str], list[list]]:
+    """Texts and elements of a page, in time linear in its length however it is nested."""
+    flat = _Flat()
+    flat.feed(html)
+    return flat.done()
 
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+
+def _flat(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = [pa.string(), pa.list_(pa.string()), *[pa.string()] * len(_NAMES), *[pa.int32()] * 6, pa.string(), pa.bool_()]
+    names = ["tag", "classes", *_NAMES.values(), "n", "last", "parent", "cell", "t0", "t1", "link", "compared"]
+    for batch in html:
+        texts, rows, ends, problems = [], [], [0], []
+        for page in batch.to_pylist():
+            try:
+                own, found, problem = *flatten(page or ""), None
+            except (ValueError, AssertionError) as e:
+                own, found, problem = [], [], str(e)[:200]
+            texts.append(own)
+            rows += found
+            ends.append(len(rows))
+            problems.append(problem)
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        elements = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements)
+        yield pa.StructArray.from_arrays([pa.array(texts, pa.list_(pa.string())), lists, pa.array(problems, pa.string())], ["texts", "elements", "problem"])
+
+
+# Rules on elements, as column expressions. A missing element is null, and so is what is taken from it.
+
+_TEXTS, _ELEMENTS = "__flat.texts", "__flat.elements"
+
+
+def _first(elements: Column | str, rule: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(elements, rule), F.lit(0))
 
 
-def _said(*nodes: Node | None) -> str | None:
+def _inside(e: Column, rule: Callable[[Column], Column]) -> Column:
+    """The elements inside e for which the rule holds: they lie beside each other."""
+    return F.filter(F.slice(_ELEMENTS, e["n"] + 2, e["last"] - e["n"]), rule)
+
+
+def _is(tag: str | None = None, cls: str | None = None, **values: str) -> Callable[[Column], Column]:
+    def rule(x: Column) -> Column:
+        out = F.lit(True) if tag is None else x["tag"] == tag
+        if cls is not None:
+            out = out & F.array_contains(x["classes"], cls)
+        for field, value in values.items():
+            out = out & F.coalesce(x[field] == value, F.lit(False))
+        return out
+
+    return rule
+
+
+def _pieces(e: Column) -> Column:
+    return F.slice(_TEXTS, e["t0"] + 1, e["t1"] - e["t0"])
+
+
+def _text(e: Column) -> Column:
+    return strip(F.array_join(_pieces(e), ""))
+
+
+def _spaced(e: Column) -> Column:
+    """The texts of an element, each stripped, with a space between two."""
+    return F.array_join(F.filter(F.slice("__stripped", e["t0"] + 1, e["t1"] - e["t0"]), lambda t: t != ""), " ")
+
+
+def _said(*elements: Column) -> Column:
     """The first text there is."""
-    return next((t for n in nodes if n is not None and (t := n.text())), None)
+    return F.coalesce(*[F.nullif(_text(e), F.lit("")) for e in elements])
 
 
-def _cell(root: Node, name: str) -> Node | None:
+def _cell(name: str) -> Column:
     """The cell beside the table header that holds a name."""
-    for th in root.find_all("th"):
-        if re.search(name, th.text(), re.IGNORECASE) and th.parent is not None:
-            if (td := next((c for c in th.parent.children if isinstance(c, Node) and c.tag == "td"), None)) is not None:
-                return td
-    return None
+    header = _first("__ths", lambda x: x["cell"].isNotNull() & _text(x).rlike(f"(?iu){name}"))
+    return F.get(F.col(_ELEMENTS), header["cell"])
+
 
+def _filled(array: Column) -> Column:
+    """The array, null if it has no entry."""
+    return F.when(F.size(array) > 0, array)
 
-def detail_images(root: Node, asin: str | None) -> list[str]:
+
+def _detail_images() -> Column:
     """Images of the detail sections (of the page if it has none), but for comparison blocks and links to other products."""
-    found = []
-    for box in [n for n in root.walk() if n.attrs.get("id") in DETAIL_IDS] or [root]:
-        for img in box.find_all("img"):
-            src = (img.attrs.get("src") or img.attrs.get("data-src") or "").strip()
-            if urls.DETAIL_TOKEN not in src or any(COMPARISON & set(n.classes) for n in img.above()):
-                continue
-            link = next((n for n in img.above() if n.tag == "a" and "href" in n.attrs), None)
-            to = re.search(r"/dp/([A-Z0-9]{10})", link.attrs["href"], re.IGNORECASE) if link else None
-            if to and asin and to[1].upper() != asin.upper():
-                continue
-            src = f"https:{src}" if src.startswith("//") else src
-            if src.startswith("https://") and src not in found:
-                found.append(src)
-    return found
-
-
-def parse_page(html: str, asin: str | None) -> dict:
-    """Texts of a page's fields; numbers are taken from them by column expressions."""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    root = tree.root
-    core = root.find("div", "corePriceDisplay_desktop_feature_div")
-    label = next((n for n in core.find_all("span") if "apex-pricetopay-accessibility-label" in n.attrs.get("id", "")), None) if core else None
-    paid = label.text() if label else None
-    if paid and not any(x in paid for x in "$€£￥元"):
-        paid = m[1] if (m := re.search(r"([\d.,]+)", paid)) else None
-    whole = _said(core.find("span", cls="a-price-whole")) if core else None
-    parts = (whole + (_said(core.find("span", cls="a-price-fraction")) or "")) if whole else None
-    deal = root.find("span", "priceblock_dealprice")
-    shown = next((n for n in core.find_all("span", cls="a-price") if "a-text-price" not in n.classes), None) if core else None
-    swatch = [n for n in root.find_all("li", cls="swatchElement")]
-    selected = next((n for n in swatch if any("selected" in c for c in n.classes)), swatch[0] if swatch else None)
-    items = [li.text(" ") for li in root.find_all("li")]
-    seller = _cell(root, "Best Sellers Rank|亚马逊热销商品排名")
-    panel = [f"{_said(p.find('span', cls='rank-box'))} in {_said(p.find('span', cls='exts-color-blue'))}" for p in root.find_all("p", cls="bsr-list-item")]
-    box = root.find("div", "feature-bullets")
-    bullets = [b.text() for b in box.find_all("span", cls="a-list-item")] if box else []
-    if not any(len(b) > 10 for b in bullets):
-        ul = next((n for n in root.find_all("ul") if {"a-unordered-list", "a-vertical"} <= set(n.classes)), None)
-        bullets = [b.text() for b in ul.find_all("li")] if ul else []
-    counts = [len(swatch)] + [len(list(n.find_all("li"))) for i in ("variation_color_name", "variation_size_name") if (n := root.find(id=i))]
-    landing, wrapper = root.find("img", "landingImage"), root.find("div", "imgTagWrapperId")
-    wrapped = wrapper.find("img") if wrapper else None
-    ranked = panel or ([li.text(" ") for li in seller.find_all("li")] if seller else []) or [t for t in items if "#" in t]
-    launch = _cell(root, "Date First Available")
-    since = next((n.parent for n in root.find_all("span") if "上架时间" in n.text() and n.parent), None)
-    top = root.find("html")
+    boxes = F.filter(_ELEMENTS, lambda x: F.coalesce(x["id"].isin(*DETAIL_IDS), F.lit(False)))
+    # outermost sections only: they lie one after another, so what is in them is in order
+    outer = F.aggregate(
+        boxes, F.expr("struct(cast(array() as array<struct<n: int, last: int>>) as kept, -1 as last)"),
+        lambda s, b: F.when(b["n"] <= s["last"], s).otherwise(F.struct(F.concat(s["kept"], F.array(F.struct(b["n"].alias("n"), b["last"].alias("last")))).alias("kept"), b["last"].alias("last"))),
+        lambda s: s["kept"],
+    )
+    images = lambda b: F.filter(F.slice(_ELEMENTS, b["n"] + 2, b["last"] - b["n"]), lambda x: x["tag"] == "img")
+    found = F.coalesce(_filled(F.flatten(F.transform(outer, images))), F.when(F.size(outer) == 0, F.col("__imgs")), F.array().cast(f"array<{ELEMENT}>"))
+    to = lambda x: F.regexp_extract(x["link"], r"(?i)/dp/([A-Z0-9]{10})", 1)
+    other = lambda x: F.coalesce((to(x) != "") & (F.col("asin") != "") & (F.upper(to(x)) != F.upper("asin")), F.lit(False))
+    sources = F.transform(F.filter(found, lambda x: ~x["compared"] & ~other(x)), lambda x: strip(F.coalesce(F.nullif(x["src"], F.lit("")), x["data_src"], F.lit(""))))
+    whole = F.transform(F.filter(sources, lambda u: F.contains(u, F.lit(urls.DETAIL_TOKEN))), lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u))
+    return F.array_distinct(F.filter(whole, lambda u: F.startswith(u, F.lit("https://"))))
+
+
+def _with_elements(pages: DataFrame) -> DataFrame:
+    """Elements by tag, and those that several fields are taken from."""
+    tagged = {f"__{t}s": F.filter(_ELEMENTS, _is(t)) for t in ("span", "li", "th", "a", "img", "ul", "div", "h1", "p")}
+    pages = pages.withColumn("__flat", F.arrow_udf(_flat, FLAT)(F.col("html"))).withColumns({"__stripped": F.transform(_TEXTS, strip), **tagged})
+    core = _first("__divs", _is(id="corePriceDisplay_desktop_feature_div"))
+    return pages.withColumns({
+        "__core": F.when(core.isNotNull(), _inside(core, _is("span"))), "__seller": _cell("Best Sellers Rank|亚马逊热销商品排名"),
+        "__items": F.filter(F.transform("__lis", _spaced), lambda t: F.contains(t, F.lit("#"))), "__swatches": F.filter("__lis", _is(cls="swatchElement")),
+        "__panel": F.transform(F.filter("__ps", _is(cls="bsr-list-item")), lambda p: F.concat(
+            F.coalesce(_said(F.get(_inside(p, _is("span", "rank-box")), F.lit(0))), F.lit("None")), F.lit(" in "), F.coalesce(_said(F.get(_inside(p, _is("span", "exts-color-blue")), F.lit(0))), F.lit("None")))),
+    })
+
+
+def _fields() -> dict[str, Column]:
+    """Texts of a page's fields; numbers are taken from them later."""
+    core, spans = F.col("__core"), F.col("__spans")
+    span = lambda **v: _first(spans, _is(**v))
+    label = _text(_first(core, lambda x: F.contains(x["id"], F.lit("apex-pricetopay-accessibility-label"))))
+    paid = F.when(label.rlike("[$€£￥元]"), label).otherwise(F.nullif(F.regexp_extract(label, r"([\d.,]+)", 1), F.lit("")))
+    whole, fraction = _said(_first(core, _is(cls="a-price-whole"))), _said(_first(core, _is(cls="a-price-fraction")))
+    deal = span(id="priceblock_dealprice")
+    shown = _first(core, lambda x: F.array_contains(x["classes"], "a-price") & ~F.array_contains(x["classes"], "a-text-price"))
+    swatches = F.col("__swatches")
+    selected = F.coalesce(_first(swatches, lambda x: F.exists(x["classes"], lambda c: F.contains(c, F.lit("selected")))), F.get(swatches, F.lit(0)))
+    box = _first("__divs", _is(id="feature-bullets"))
+    listed = F.transform(_inside(box, _is("span", "a-list-item")), _text)
+    plain = _first("__uls", lambda x: F.array_contains(x["classes"], "a-unordered-list") & F.array_contains(x["classes"], "a-vertical"))
+    bullets = F.coalesce(F.when(F.exists(listed, lambda t: F.char_length(t) > 10), listed), F.transform(_inside(plain, _is("li")), _text), F.array().cast("array<string>"))
+    counts = [F.coalesce(F.size(_inside(_first(_ELEMENTS, _is(id=i)), _is("li"))), F.lit(0)) for i in ("variation_color_name", "variation_size_name")]
+    counts = [F.when(c > 0, c) for c in (F.size(swatches), *counts)]
+    seller, panel, items = F.col("__seller"), F.col("__panel"), F.col("__items")
+    ranks = F.coalesce(_filled(panel), _filled(F.transform(_inside(seller, _is("li")), _spaced)), items)
+    told = F.concat(panel, F.array(F.coalesce(_text(seller), F.lit(""))), F.filter(items, lambda t: t.rlike("(?iu)best ?sellers rank|热销商品排名")))
+    dated = F.contains(F.array_join(_TEXTS, ""), F.lit("上架时间"))
+    since = F.when(dated, _first(spans, lambda x: F.contains(F.array_join(_pieces(x), ""), F.lit("上架时间"))))
+    wrapper = _first("__divs", _is(id="imgTagWrapperId"))
+    empty = lambda c: F.nullif(c, F.lit(""))
     return {
-        "main_image": (landing.attrs.get("src") if landing else None) or None,
-        "brand": _said(root.find("a", "bylineInfo"), _cell(root, "brand")),
-        "title": _said(root.find("span", "productTitle"), root.find("h1", cls="product-title")),
-        "price": paid or (_said(next((n for n in core.find_all("span") if "a-offscreen" in n.classes), None)) if core else None) or parts or _said(deal, root.find("span", "priceblock_ourprice"), root.find("span", data_a_color="price")),
-        "promo_price": (_said(shown.find("span", cls="a-offscreen")) if shown else None) or _said(deal, root.find("span", "savingPriceOverride"), next((n for n in root.find_all("span") if re.search("deal|discount|sale", n.attrs.get("class", ""), re.IGNORECASE)), None)),
-        "rating_text": _said(root.find("span", cls="a-icon-alt"), root.find("span", data_hook="rating-out-of-text")),
-        "count_text": _said(root.find("span", "acrCustomerReviewText"), root.find("span", data_hook="total-review-count")),
-        "bsr_text": next((t for t in [*panel, seller.text() if seller else "", *[t for t in items if re.search("best ?sellers rank|热销商品排名", t, re.IGNORECASE)]] if "#" in t), None),
-        "ranks": ranked,
-        "launch_text": _said(launch) or (since.text(" ") if since else None),
-        "variants": max(counts) or None,
-        "styles_text": m[0] if (m := re.search(r"\d+\s+styles?\s+available", html, re.IGNORECASE)) else None,
-        "color_title": selected.attrs.get("title") or None if selected else None,
+        "main_image": empty(_first("__imgs", _is(id="landingImage"))["src"]),
+        "brand": F.coalesce(_said(_first("__as", _is(id="bylineInfo"))), _said(_cell("brand"))),
+        "title": _said(span(id="productTitle"), _first("__h1s", _is(cls="product-title"))),
+        "price": F.coalesce(empty(paid), _said(_first(core, _is(cls="a-offscreen"))), F.concat(whole, F.coalesce(fraction, F.lit(""))), _said(deal, span(id="priceblock_ourprice"), span(color="price"))),
+        "promo_price": F.coalesce(
+            _said(F.get(_inside(shown, _is("span", "a-offscreen")), F.lit(0))),
+            _said(deal, span(id="savingPriceOverride"), _first(spans, lambda x: F.array_join(x["classes"], " ").rlike("(?i)deal|discount|sale"))),
+        ),
+        "rating_text": _said(span(cls="a-icon-alt"), span(hook="rating-out-of-text")),
+        "count_text": _said(span(id="acrCustomerReviewText"), span(hook="total-review-count")),
+        "bsr_text": _first(told, lambda t: F.contains(t, F.lit("#"))),
+        "ranks": ranks,
+        "launch_text": F.coalesce(_said(_cell("Date First Available")), _spaced(F.get(F.col(_ELEMENTS), since["parent"]))),
+        "variants": F.greatest(*counts),
+        "styles_text": empty(F.regexp_extract("html", r"(?iu)\d+\s+styles?\s+available", 0)),
+        "color_title": empty(selected["title"]),
         "bullets": bullets,
-        "detail_images": detail_images(root, asin),
-        "page_title": _said(root.find("title")),
-        "heading": _said(root.find("h1")),
-        "page_lang": (top.attrs.get("lang") if top else None) or None,
-        "links": [n.attrs["href"] for n in root.find_all("a") if n.attrs.get("href")],
-        "_wrapped": (wrapped.attrs.get("src") if wrapped else None) or None,
+        "detail_images": _detail_images(),
+        "page_title": _said(_first(_ELEMENTS, _is("title"))),
+        "heading": _said(F.get(F.col("__h1s"), F.lit(0))),
+        "page_lang": empty(_first(_ELEMENTS, _is("html"))["lang"]),
+        "links": F.filter(F.transform("__as", lambda x: x["href"]), lambda h: h != ""),
+        "wrapped_image": empty(F.get(_inside(wrapper, _is("img")), F.lit(0))["src"]),
+        "problem": F.col("__flat.problem"),
     }
 
 
-@F.pandas_udf(schema(PARSED + ", wrapped_image string, problem string"))
-def _parse(html: pd.Series, asin: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, a in zip(html, asin):
-        try:
-            found, problem = parse_page(h or "", a), None
-        except (ValueError, RecursionError, AssertionError) as e:
-            found, problem = {}, str(e)[:200]
-        rows.append([*[found.get(f) for f in PARSED_FIELDS], found.get("_wrapped"), problem])
-    return pd.DataFrame(rows, columns=[*PARSED_FIELDS, "wrapped_image", "problem"]).astype({"variants": "Int32"})
-
-
 def _number(text: Column, pattern: str, kind: str) -> Column:
     return F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast(kind)
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages (asin, html, ...) with a struct `page` of PARSED: html rows are large, each is parsed once."""
+    """pages (asin, html, ...) with a struct `page` of _fields(): html rows are large, each is read once, by flatten().
+
+    Which element a field is taken from is told by expressions; a field that nobody asks for isn't computed.
+    """
     ship(pages.sparkSession)
-    return pages.withColumn("page", _parse("html", "asin"))
+    own = pages.columns
+    return _with_elements(pages).select(*own, F.struct(*[c.alias(f) for f, c in _fields().items()]).alias("page"))
 
 
 def product_rows(pages: DataFrame) -> DataFrame:

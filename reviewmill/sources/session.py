@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,6 +28,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the one that driver and executors share (spark.checkpoint.dir). Only a local session may do without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 #: A table of one file below this is dealt to all cores.
 ONE_FILE = 64 << 20
 

@@ -56,10 +56,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files of a folder and all below it: path, length, content."""
+def read_images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """Image files of a folder and all below it: path, length and, if asked for, content. Without it no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(EXTENSIONS)).select("path", "length", "content")
+    some = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(EXTENSIONS))
+    return some.select("path", "length", *["content"] * content)
 
 
 def keep_columns(df: DataFrame, groups: list[list[str]]) -> DataFrame:

@@ -1,11 +1,13 @@
 import json
 import struct
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.functions import urls
+from reviewmill.jobs import store_queries
 from reviewmill.jobs.queries import QUERIES
 from reviewmill.operators import images, ledger, pages, requests
 from reviewmill.sources import tables
@@ -35,6 +37,35 @@ def test_product_rows(spark):
     assert got["B4"].title is None and got["B4"].bullet_points == []
 
 
+@pytest.mark.parametrize("html", [
+    '<div id="aplus"><img src="https://d.example/aplus-media-library-service-media/1.jpg">' * 400, "<span>x" * 3000, "<li>#y" * 3000, "<th>z" * 3000, "<span>x</b>" * 5000, "<div class='comparison-table'><a href='x'>" * 3000,
+])
+def test_nested_pages_are_linear(html):
+    def took(text):
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            pages.flatten(text)
+            best.append(time.process_time() - began)
+        return min(best)
+
+    once = took(html)
+    assert once < 1 and took(html * 4) < 8 * once + 0.05
+
+
+def test_fragments_and_broken_pages(spark):
+    rows = [
+        (0, "<th>Brand</th><td>Acme</td><span>上架时间: <b>x</b></span> 2023-01-01", None), (1, None, "a"), (2, "", "a"), (3, "<li", "a"), (4, "<li class=swatchElement title='Click to select X'><li>#3 in Home</p></b>", "a"),
+        (5, '<div id="aplus"><img src="//d.example/aplus-media-library-service-media/1.jpg"><div id="aplus_feature_div"><img data-src="https://d.example/aplus-media-library-service-media/2.jpg"></div></div>'
+            '<div id="aplus"><img src="//d.example/aplus-media-library-service-media/1.jpg"><a href="/DP/bother0002"><a><img src="https://d.example/aplus-media-library-service-media/3.jpg"></a></a></div>', "AOTHER0001"),
+    ]
+    got = {r.i: r.page for r in pages.parse_pages(spark.createDataFrame(rows, "i int, html string, asin string")).collect()}
+    assert got[0].brand == "Acme" and got[0].launch_text == "Brand Acme 上架时间: x 2023-01-01"
+    assert all(got[i].title is None and got[i].bullets == [] and got[i].problem is None for i in (1, 2, 3))
+    assert got[4].color_title == "Click to select X" and got[4].ranks == ["#3 in Home"] * 2 and got[4].variants == 1
+    assert got[5].detail_images == [f"https://d.example/aplus-media-library-service-media/{i}.jpg" for i in (1, 2)]
+
+
 def test_candidates(spark):
     df = spark.createDataFrame([("B000000001", PAGE)], "asin string, html string")
     strict = pages.page_candidates(df).first().candidates
@@ -70,6 +101,23 @@ def test_images(spark, tmp_path):
     assert tuple(images.image_report(checked).first())[:4] == (5, 2, 3, 1)
 
 
+def test_images_are_read_at_their_ends(spark, tmp_path):
+    for kind in store_queries.KINDS:
+        (tmp_path / f"{kind.replace(' ', '_')}.{kind.split()[-1]}").write_bytes(store_queries.image_bytes(kind, 300, 200, 3_000_000))
+    (tmp_path / "many.jpg").write_bytes(b"\xff\xd8" + b"\xff\xe1\x00\x04ab" * 5000 + b"\xff\xc0\x00\x0b\x08\x00\xc8\x00\xc8\x01\x01\x11\x00\xff\xd9")
+    (tmp_path / "empty.png").write_bytes(b"")
+    files = tables.read_images(spark, str(tmp_path))
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]  # no file is opened by the scan
+    checked = images.check_images(files).collect()
+    assert max(r.n_read for r in checked) <= images.HEAD + images.TAIL + 9 * images.SEGMENTS
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.width, r.height) for r in checked}
+    whole, broken = ("valid", 300, 200), ("corrupt", None, None)
+    assert got == {"png.png": whole, "jpg.jpg": whole, "webp.webp": whole, "cut_png.png": broken, "text_jpg.jpg": broken, "gone_bad_jpg.jpg": broken, "padded_png.png": whole, "many.jpg": broken, "empty.png": broken}
+    content = images.check_images(tables.read_images(spark, str(tmp_path), content=True)).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.status, r.width, r.height) for r in content} == got
+    assert images.probe_file(f"file:{tmp_path}/gone.png", 100) == (None, 0)
+
+
 def test_completeness(spark):
     df = spark.createDataFrame([("a", "", 0, ["x"]), ("b", "t", 2, []), ("c", None, None, None)], "asin string, title string, n int, bullets array<string>")
     assert {r.field: (r.filled, r.percent) for r in ledger.completeness(df, ["asin", "title", "n", "bullets"]).collect()} == {"asin": (3, 100.0), "title": (1, 33.3), "n": (1, 33.3), "bullets": (1, 33.3)}
