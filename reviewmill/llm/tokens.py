@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ from .common import fresh_path, materialise, ship
 
 #: Ids of a sequence, and sequences of a record batch: sequence k of a file is row k % BATCH of batch k // BATCH.
 SEQUENCE, BATCH = 2048, 64
+#: Rows of the sample from which bounds between files are taken, for each file.
+SAMPLED = 100
 #: Entries of a worker's memory of pieces; beyond that it starts anew.
 MEMORY = 300_000
 
@@ -194,43 +195,69 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
             n, crc = n + used - at, zlib.crc32(ids[at:used].data, crc)
 
 
+def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Ids between parts of about equally many rows, of a sample of SAMPLED rows a part, a million at most; a hot id is there several times."""
+    total = docs.count()
+    share = min(1.0, min(SAMPLED * parts, 1_000_000) / max(1, total))
+    ids = np.sort(np.array([r[0] for r in docs.select(_id()).sample(share, 7).collect()], np.int64))
+    return ids[(np.arange(1, parts) * len(ids)) // parts] if len(ids) else ids
+
+
+def _id():
+    """doc_id, nulls before all."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def part_of(bounds: np.ndarray, ids: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Part of each row in order of id and of told, a hash (int64): an id that is a bound is dealt by it to the parts about that."""
+    first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    place = (told.astype(np.float64) + 2.0**63) / 2.0**64
+    return np.minimum(last, first + np.floor(place * (last - first + 1)).astype(np.int64)).astype(np.int32)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """Encodes docs (doc_id, text) and writes one file a task, in ascending order of doc_id from file to file.
 
     Texts are encoded where they are read: only ids move to the files' tasks. Rows that share a doc_id lie in order of a
-    hash of their texts, over several files if they are many.
+    hash of their texts, in several files if they are many.
 
     Returns the manifest: part (the files' order), path, n_docs, n_ids. Only files that it names count: a repeated
     task writes another file. Null texts are empty and have the end id only; null doc_ids come first; rows that
     repeat a doc_id keep their own ids. An empty table gives an empty manifest.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         end = code.bytes([end_id])
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                ids = pa.array([code.encode(x.as_py()) + end for x in batch.column(2).slice(lo, 1000)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 1000) for c in batch.columns[:2]), ids], ["doc_id", "told", "ids"])
+                doc_id, key, told, text = (c.slice(lo, 1000) for c in batch.columns)
+                ids = pa.array([code.encode(x.as_py()) + end for x in text], pa.binary())
+                part = part_of(bounds, key.to_numpy(), told.to_numpy())
+                yield pa.RecordBatch.from_arrays([doc_id, told, pa.array(part), ids], ["doc_id", "told", "part", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, part = None, TaskContext.get().partitionId()
+        writer = None
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, part, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if writer is None:
-                    path = files.new_file(folder, f"part-{part:06d}", ".arrow")
+                    first, path = part, files.new_file(folder, f"part-{part:06d}", ".arrow")
                     writer = SequenceWriter(path, encoder(tokenizer).dtype)
+                if part != first:
+                    raise ValueError("a task has rows of one part")
                 writer.add(doc_id, ids.as_py())
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": writer.docs, "n_ids": writer.n}])
+            yield pa.RecordBatch.from_pylist([{"part": first, "path": path, "n_docs": writer.docs, "n_ids": writer.n}])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
-    rows = materialise(rows.mapInArrow(encode, "doc_id long, told long, ids binary"), "encoded")
-    # by the row's number too: rows that are alike in all may be many
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "told", "row").sortWithinPartitions("doc_id", "told", "row").select("doc_id", "ids")
-    return materialise(rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("key"), F.xxhash64("text").alias("told"), "text")
+    rows = rows.mapInArrow(encode, "doc_id long, told long, part int, ids binary")
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("doc_id", "told").select("doc_id", "part", "ids")
+    return materialise(dealt.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

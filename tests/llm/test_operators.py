@@ -434,6 +434,17 @@ def test_tokens(spark, docs, none, rows):
     assert tokens.token_index(none, file, 2).count() == 0
 
 
+def test_parts_are_in_order():
+    rng = np.random.default_rng(8)
+    ids = np.sort(np.where(rng.random(9000) < 0.4, 7, rng.integers(0, 1000, 9000)))
+    bounds = np.sort(rng.choice(ids, 15))
+    told = rng.integers(-(2**63), 2**63, len(ids))
+    order = np.lexsort((told, ids))
+    part = tokens.part_of(bounds, ids[order], told[order])
+    assert (np.diff(part) >= 0).all() and part.min() == 0 and part.max() == 15 and np.bincount(part).max() < 3 * 9000 / 16
+    assert tokens.part_of(np.zeros(0, np.int64), ids[:3], told[:3]).tolist() == [0, 0, 0]
+
+
 def test_plain_letters():
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(file := public_tokenizers.path("word_bpe_49k.json"))
     code = tokens.Encoder(file)
