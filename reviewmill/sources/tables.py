@@ -57,7 +57,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """Image files of a folder and all below it: path, length and, if asked for, content. Without it no file is opened."""
+    """Image files of a folder and all below it: path, length and, if asked for, content. Without it no file is opened.
+
+    A file of no bytes has no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     some = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(EXTENSIONS))
     return some.select("path", "length", *["content"] * content)
