@@ -144,8 +144,6 @@ def sc6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(text_queries.H3_SQL)(text_queries.sc1_h3_translate)
 query(text_queries.H2_SQL)(text_queries.h2_pattern_index)
-query(store_queries.IMAGES_SQL)(store_queries.io6_h4_image_check)
-query(store_queries.IMAGE_REPORT_SQL)(store_queries.a18_image_report)
 query(label_queries.LABELS_SQL)(label_queries.w1_label_reviews)
 query(label_queries.STATISTICS_SQL)(label_queries.a5_label_statistics)
 
@@ -308,6 +306,15 @@ def u7_upsert_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("total_size"))
 
 
+query(f"with {LATEST_SQL} select status, count(*) as n, sum(file_size)::bigint as total_size from latest group by 1")(store_queries.u7_bucketed_ledger)
+query(f"with {LATEST_SQL} select d.asin, d.image_url, d.seq from downloads d where not exists (select 1 from latest l where l.status = 'success' and l.asin = d.asin and l.image_url = d.image_url)")(store_queries.j8_bucketed_pending)
+query(store_queries.RETENTION_SQL)(store_queries.pf12_delete_old_days)
+query(store_queries.RUNS_SQL)(store_queries.io7_io8_t6_runs)
+query(store_queries.REPORT_SQL)(store_queries.io9_report)
+query(store_queries.IMAGES_SQL)(store_queries.io6_h4_image_check)
+query(store_queries.IMAGE_REPORT_SQL)(store_queries.a18_image_report)
+
+
 @query("""with every as (select cast(l_partkey as string) as asin, case when l_linenumber % 3 = 0 then null else concat('title ', l_orderkey, '-', l_linenumber) end as title, cast(null as string) as url, l_shipdate as created_at, l_shipdate as updated_at from lineitem
  union all select cast(p_partkey as string), p_name, concat('https://shop.example/', p_partkey), timestamp '1990-01-01', timestamp '1990-01-01' from part)
 select asin, (max({'a': updated_at, 'b': title}) filter (title is not null)).b as title, (max({'a': updated_at, 'b': url}) filter (url is not null)).b as url, min(created_at) as created_at, max(updated_at) as updated_at from every group by asin""")
@@ -375,10 +382,14 @@ def a16_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.batch_summary(ledger.download_results(bound(spark, sf_dir, "downloads")))
 
 
-@query(f"with {ctes('downloads')} select asin, count(*) as total, count(*) filter (status = 'success') as success, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, coalesce(string_agg(coalesce(error_message, 'Unknown error'), '; ' order by coalesce(error_message, 'Unknown error')) filter (status = 'failed'), '') as errors from downloads group by 1")
+@query(f"with {ctes('downloads')} select asin, count(*) as total, count(*) filter (status = 'success') as success, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped from downloads group by 1")
 def a17_download_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = F.transform("errors", lambda e: F.array_repeat(e["message"], e["copies"].cast("int")))
-    return ledger.download_results(bound(spark, sf_dir, "downloads")).withColumn("errors", F.array_join(F.flatten(copies), "; "))
+    return ledger.download_results(bound(spark, sf_dir, "downloads"))
+
+
+@query(f"with {ctes('downloads')} select asin, coalesce(error_message, 'Unknown error') as message, count(*) as copies from downloads where status = 'failed' group by 1, 2")
+def a17_download_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.download_errors(bound(spark, sf_dir, "downloads"))
 
 
 @query(f"with {ctes('downloads')} select asin, count(*) as total, count(*) filter (status = 'failed') as failed from downloads group by 1 having count(*) filter (status = 'failed') > 0")

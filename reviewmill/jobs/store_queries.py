@@ -11,10 +11,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import images, ledger
+from ..sources import ledger_table, log_table, runs
 from ..sources.session import shared_folder, ship, spread
-from ..sources.tables import read_images
-from .bindings import table
+from ..sources.tables import read_images, report, write_report
+from .bindings import AS_OF, bound, ctes, table
 
 #: Kinds of the files of parts, in turn.
 KINDS = ("png", "jpg", "webp", "cut png", "text jpg", "gone bad jpg", "padded png")
@@ -79,3 +80,81 @@ def io6_h4_image_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a18_image_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.image_report(_checked(spark, sf_dir))
+
+
+# the ledger as a bucketed table -----------------------------------------------------------------------------------------
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of half of the results, upserted in its buckets by the other half and then by some of the first again."""
+    results, path = bound(spark, sf_dir, "downloads"), shared_folder(spark, "ledger")
+    name = "ledger_" + path[-32:]
+    first = F.pmod(F.xxhash64("asin", "image_url", "seq"), F.lit(2)) == 0
+    ledger_table.create_ledger(results.filter(first), name, path, 8)
+    ledger_table.upsert_ledger(results.filter(~first), name, path)
+    return ledger_table.upsert_ledger(results.filter(first & (F.col("file_size") > 25000)), name, path)
+
+
+def u7_bucketed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("total_size"))
+
+
+def j8_bucketed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results without a success in the ledger: the ledger's side of the join isn't shuffled."""
+    return ledger.pending(bound(spark, sf_dir, "downloads"), _bucketed(spark, sf_dir)).select("asin", "image_url", "seq")
+
+
+# retention --------------------------------------------------------------------------------------------------------------
+
+_CUTOFF = "2024-01-13 00:00:00"
+_MIDDAY = "2024-01-12 13:30:00"
+RETENTION_SQL = f"""with {ctes('requests')}
+select count(*) filter (created_at < timestamp '{_MIDDAY}')::bigint as first_dropped, count(*) filter (created_at >= timestamp '{_MIDDAY}' and created_at < timestamp '{_CUTOFF}')::bigint as then_dropped,
+  count(*) filter (created_at >= timestamp '{_CUTOFF}')::bigint as kept, coalesce(sum(event_id) filter (created_at >= timestamp '{_CUTOFF}'), 0)::bigint as kept_ids from requests"""
+
+
+def pf12_delete_old_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log by day, of which all before a midday and then all before a day go: what the deletions say, and what is left."""
+    path = shared_folder(spark, "requests")
+    log_table.append_log(bound(spark, sf_dir, "requests").withColumn("created_at", F.col("created_at").cast("timestamp")), path)
+    dropped = [log_table.delete_before(spark, path, moment) for moment in (_MIDDAY, _CUTOFF)]
+    left = log_table.read_log(spark, path)
+    if left is None:
+        left = bound(spark, sf_dir, "requests").limit(0)
+    row = left.agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("event_id"), F.lit(0)).cast("long").alias("kept_ids"))
+    return row.select(*[F.lit(n).cast("long").alias(c) for n, c in zip(dropped, ("first_dropped", "then_dropped"))], "kept", "kept_ids")
+
+
+# runs -------------------------------------------------------------------------------------------------------------------
+
+RUNS_SQL = """with cells as (select p_partkey, p_brand as category, p_size from part)
+select category, case when category < (select max(category) from cells) then 2 else 1 end as run_id, count(*) as n, sum(p_size * case when category < (select max(category) from cells) then 2 else 1 end)::bigint as size
+from cells group by category"""
+
+
+def io7_io8_t6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs by category, the second without the last one: the newest run of each category."""
+    path = shared_folder(spark, "runs")
+    cells = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("category"), F.col("p_size").cast("long").alias("size"))
+    last = cells.agg(F.max("category")).first()[0]
+    runs.write_labelled(cells, path, "category")
+    runs.write_labelled(cells.filter(F.col("category") < last).withColumn("size", F.col("size") * 2), path, "category")
+    return runs.newest_run(spark, path, "category").groupBy("category", "run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+# report -----------------------------------------------------------------------------------------------------------------
+
+REPORT_SQL = f"""with {ctes('downloads', 'products')}, stats as (select status, count(*) as n, round(avg(download_time), 6) as avg_time, sum(file_size)::bigint as total_size from downloads group by 1)
+select '{AS_OF}' as generated_at, (select string_agg(status || ' ' || n || ' ' || round(avg_time * 1000000)::bigint || ' ' || total_size, '; ' order by status) from stats) as by_status,
+  (select count(*) from products) as total_products, (select count(distinct asin) from downloads where status = 'success') as products_with_images,
+  (select sum(n)::bigint from stats) as total, (select round(sum(total_size) / 1048576.0, 4) from stats) as mb"""
+
+
+def io9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one row, written as JSON and read back."""
+    path = shared_folder(spark, "report")
+    row = report(bound(spark, sf_dir, "downloads"), bound(spark, sf_dir, "products"), AS_OF)
+    write_report(row, path)
+    back = spark.read.schema(row.schema).json(path)
+    entries = F.transform(F.array_sort(F.map_entries("by_status")), lambda e: F.concat_ws(" ", e["key"], e["value"]["n"], F.round(e["value"]["avg_time"] * 1_000_000).cast("long"), e["value"]["total_size"]))
+    return back.withColumn("by_status", F.array_join(entries, "; "))

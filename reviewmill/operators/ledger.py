@@ -18,9 +18,13 @@ OTHER = "Other"
 
 
 def latest_downloads(downloads: DataFrame) -> DataFrame:
-    """The last row of each image of each product. The key has two columns, so a popular product is no skew."""
-    last = Window.partitionBy(*KEY).orderBy(F.desc("created_at"), F.desc("seq"))
-    return downloads.withColumn("at", F.row_number().over(last)).filter("at = 1").drop("at")
+    """The last row of each image of each product.
+
+    Tasks keep the last row of each key that they have read, so an image that was tried again and again is a row a task.
+    """
+    rest = [c for c in downloads.columns if c not in KEY]
+    last = F.max_by(F.struct(*rest), F.struct("created_at", "seq")).alias("last")
+    return downloads.groupBy(*KEY).agg(last).select(*[f"last.{c}" if c in rest else c for c in downloads.columns])
 
 
 def upsert_downloads(ledger: DataFrame, new: DataFrame) -> DataFrame:
@@ -106,13 +110,15 @@ def latest_failures(downloads: DataFrame, n: int = 20) -> DataFrame:
 
 
 def download_results(downloads: DataFrame) -> DataFrame:
-    """One row a product: total, success, failed, skipped and the sorted error texts (message, copies), each text once."""
-    counts = ("total", "success", "failed", "skipped")
+    """One row a product: total, success, failed, skipped."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
-    message = F.when(F.col("status") == "failed", F.coalesce("error_message", F.lit("Unknown error"))).alias("message")
-    texts = downloads.groupBy("asin", message).agg(F.count(F.lit(1)).alias("total"), *[of(s) for s in counts[1:]])
-    error = F.when(F.col("message").isNotNull(), F.struct("message", F.col("failed").alias("copies")))
-    return texts.groupBy("asin").agg(*[F.sum(c).alias(c) for c in counts], F.array_sort(F.collect_list(error)).alias("errors"))
+    return downloads.groupBy("asin").agg(F.count(F.lit(1)).alias("total"), *[of(s) for s in ("success", "failed", "skipped")])
+
+
+def download_errors(downloads: DataFrame) -> DataFrame:
+    """The error texts of each product, a row each: asin, message, copies. No product's texts are gathered in a list."""
+    message = F.coalesce("error_message", F.lit("Unknown error")).alias("message")
+    return downloads.filter("status = 'failed'").groupBy("asin", message).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.images import EXTENSIONS
+from ..operators.ledger import product_counts, status_stats
 
 #: The columns of an exported product table, in order; bullets follow as bullet_1 to bullet_5.
 PRODUCT_COLUMNS = [
@@ -71,31 +72,6 @@ def keep_columns(df: DataFrame, groups: list[list[str]]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for g in groups for c in g if c in df.columns])
 
 
-def write_labelled(df: DataFrame, path: str, run_id: str, by: str | None = None) -> None:
-    """Writes a labelled table as one run; columns named __* are dropped. A run that is there already is an error."""
-    out = df.drop(*[c for c in df.columns if c.startswith("__")])
-    (out.write.partitionBy(by) if by else out.write).mode("errorifexists").parquet(f"{path}/run_id={run_id}")
-
-
-def newest_run(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
-    """The newest run of a labelled table, of each category if `by` names its column."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    if by is None:
-        return df.join(df.agg(F.max("run_id").alias("run_id")), "run_id", "left_semi")
-    return df.join(df.groupBy(by).agg(F.max("run_id").alias("run_id")), [by, "run_id"], "left_semi")
-
-
-def next_run(spark: SparkSession, path: str) -> int:
-    """The next free run number of a labelled table: 1 where there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        last = spark.read.option("mergeSchema", True).parquet(path).agg(F.max(F.col("run_id").try_cast("int"))).first()[0]
-    except AnalysisException:
-        return 1
-    return (last or 0) + 1
-
-
 def export_products(products: DataFrame) -> DataFrame:
     """Products as a flat table of texts: set columns in order, null as empty, the first bullets in columns of their own."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -104,7 +80,14 @@ def export_products(products: DataFrame) -> DataFrame:
     return products.select(*flat, *[text(F.get(top, F.lit(i))).alias(f"bullet_{i + 1}") for i in range(BULLETS)])
 
 
-def write_report(stats: DataFrame, path: str) -> None:
-    """A report of one row as JSON: counts by status in a map."""
-    row = stats.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"), F.sum("n").alias("total"), F.round(F.sum("mb"), 4).alias("mb"))
+def report(downloads: DataFrame, products: DataFrame, generated_at: str) -> DataFrame:
+    """The report, one row: generated_at, by_status (count, mean time and total size of each), totals of products, and of downloads."""
+    entry = F.struct("status", F.struct("n", "avg_time", "total_size").alias("of"))
+    stats = status_stats(downloads).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("by_status"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.round(F.coalesce(F.sum("total_size"), F.lit(0)) / (1024 * 1024), 4).alias("mb"))
+    # both sides are one row
+    return stats.join(product_counts(products, downloads)).select(F.lit(generated_at).alias("generated_at"), "by_status", "total_products", "products_with_images", "total", "mb")
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A report() as JSON."""
     row.coalesce(1).write.mode("errorifexists").json(path)

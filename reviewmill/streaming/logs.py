@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import KEY, upsert_downloads
+from ..sources.snapshots import Snapshots
 
 
 def request_windows(log: DataFrame, size: str = "5 minutes", slide: str | None = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -41,75 +40,21 @@ def merge_batch(batch: DataFrame, path: str) -> None:
         touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]  # BUCKETS at most
         if not touched:
             return
-        numbers = _snapshots(spark, path)
-        where = _read_json(spark, f"{path}/_snapshots/{numbers[-1]}.json") if numbers else {}
+        snapshots = Snapshots(spark, path, "bucket")
+        numbers, where = snapshots.numbers(), snapshots.where()
         number = numbers[-1] + 1 if numbers else 0
-        old = _read_buckets(spark, path, {b: v for b, v in where.items() if int(b) in touched})
+        old = snapshots.read({b: v for b, v in where.items() if int(b) in touched})
         merged = upsert_downloads(bucketed.limit(0) if old is None else old.select(*bucketed.columns), bucketed)
         # what an attempt that failed has left behind is overwritten: no snapshot names it
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
         where |= {str(b): number for b in touched}
-        _write_json(spark, f"{path}/_snapshots/{number}.json", where)
-        _prune(spark, path, [*numbers, number][-KEPT:])
+        snapshots.commit(number, where)
+        snapshots.prune([*numbers, number][-KEPT:])
     finally:
         bucketed.unpersist()
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest snapshot; None where there is none."""
-    numbers = _snapshots(spark, path)
-    rows = _read_buckets(spark, path, _read_json(spark, f"{path}/_snapshots/{numbers[-1]}.json")) if numbers else None
+    rows = Snapshots(spark, path, "bucket").read()
     return None if rows is None else rows.drop("bucket")
-
-
-def _read_buckets(spark: SparkSession, path: str, where: dict[str, int]) -> DataFrame | None:
-    """Rows of some buckets, with their bucket."""
-    out = None
-    for v in sorted(set(where.values())):
-        own = [f"{path}/v={v}/bucket={b}" for b, at in where.items() if at == v]
-        rows = spark.read.option("basePath", f"{path}/v={v}").parquet(*own)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
-
-
-def _store(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
-    fs, at = _store(spark, f"{path}/_snapshots")
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
-
-
-def _read_json(spark: SparkSession, path: str) -> dict[str, int]:
-    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
-
-
-def _write_json(spark: SparkSession, path: str, data: dict[str, int]) -> None:
-    """Writes beside the place and moves it there: the file is whole or not there."""
-    fs, at = _store(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(data).encode()))
-    out.close()
-    if not fs.rename(draft, at):
-        raise OSError(f"{path} is there already")
-
-
-def _prune(spark: SparkSession, path: str, kept: list[int]) -> None:
-    fs, root = _store(spark, path)
-    named = {(v, b) for n in kept for b, v in _read_json(spark, f"{path}/_snapshots/{n}.json").items()}
-    for n in set(_snapshots(spark, path)) - set(kept):
-        fs.delete(_store(spark, f"{path}/_snapshots/{n}.json")[1], False)
-    for version in fs.listStatus(root):
-        name = version.getPath().getName()
-        if not name.startswith("v="):
-            continue
-        buckets = [b.getPath() for b in fs.listStatus(version.getPath()) if b.getPath().getName().startswith("bucket=")]
-        for b in buckets:
-            if (int(name[2:]), b.getName()[7:]) not in named:
-                fs.delete(b, True)
-        if not any(v == int(name[2:]) for v, _ in named):
-            fs.delete(version.getPath(), True)
