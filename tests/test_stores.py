@@ -1,12 +1,16 @@
 """The bucketed ledger, retention by day and runs: plans, crashes, writers at the same time."""
 
 import json
+import random
 import threading
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.operators import ledger
+from reviewmill.operators import requests as requests_log
 from reviewmill.sources import ledger_table, log_table, runs, tables
 from reviewmill.sources.snapshots import Snapshots
 
@@ -173,3 +177,39 @@ def test_report(spark, tmp_path):
     assert got["total_products"] == 1 and got["products_with_images"] == 10 and got["generated_at"] == "2024-01-20T00:00:00"
     empty = tables.report(downloads.limit(0), products, "x").first()
     assert empty.by_status == {} and (empty.total, empty.total_products, empty.products_with_images) == (0, 1, 0)
+
+
+def plain_counts(rows, seconds):
+    times = [(k, None if t is None else t.timestamp()) for k, t in rows]
+    return [sum(k == o and (t is None and u is None or None not in (t, u) and t - seconds <= u <= t) for o, u in times) for k, t in times]
+
+
+@pytest.mark.parametrize("parts, seconds", [(1, 60), (7, 60), (7, 1), (30, 400), (30, 100_000)])
+def test_over_limit(spark, parts, seconds):
+    rng = random.Random(parts + seconds)
+    begin = datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None, "c"]), begin + timedelta(seconds=rng.randint(0, 5000))) for _ in range(250)]
+    rows += [("hot", begin + timedelta(seconds=rng.randint(0, 200), microseconds=rng.choice([0, 0, 5]))) for _ in range(300)]  # a burst
+    rows += [("a", None), ("a", None), (None, None)]
+    df = spark.createDataFrame([(i, k, t, "x") for i, (k, t) in enumerate(rows)], "i int, k string, created_at timestamp, __kind string").drop("__kind")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = requests_log.over_limit(df, "k", 5, seconds).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = plain_counts(rows, seconds)
+    assert {r.i: (r.k, r.created_at, r.in_span, r.over) for r in got} == {i: (k, t, n, n > 5) for i, ((k, t), n) in enumerate(zip(rows, want))}
+    assert requests_log.over_limit(df.limit(0), "k").count() == 0
+
+
+def test_a_burst_is_many_parts_and_the_halo_is_small(spark):
+    burst = spark.range(20_000).selectExpr("'k' as k", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, cast(id as decimal(18,6)) / 1000) as created_at")
+    quiet = spark.range(40_000).selectExpr("concat('q', id % 3) as k", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(id as int)) as created_at")
+    rows = burst.unionByName(quiet).select("k", F.xxhash64("k").alias("h"), F.unix_micros("created_at").alias("t")).toPandas()
+    parts = 24
+    bounds = requests_log.Bounds(rows.sample(24 * 200, random_state=1)[["h", "t"]].itertuples(index=False, name=None), parts)
+    own, end = bounds.part_of(rows.h.to_numpy(), rows.t.to_numpy()), bounds.part_of(rows.h.to_numpy(), rows.t.to_numpy() + 60_000_000)
+    assert np.bincount(own, minlength=parts).max() < 2 * 60_000 / parts and len(np.unique(own[rows.k == "k"])) >= 7
+    # of the quiet keys only what is within a minute of a part's end is copied
+    assert (end > own)[rows.k != "k"].sum() < 60 * parts and (end >= own).all()
