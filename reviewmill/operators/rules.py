@@ -31,15 +31,46 @@ def bounded(table: DataFrame, most: int = MOST_RULES) -> DataFrame:
     return table
 
 
+#: Characters of a gram in the index of headers.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """The text's different runs of characters, of each of the sizes."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.char_length(text)), runs)))
+
+
+def first_holder(stems: DataFrame, headers: DataFrame) -> DataFrame:
+    """stem, header: the first header (header, ord) that holds each of the stems, by an index of their grams.
+
+    A stem of up to GRAM characters is a gram itself, and the index knows each gram's first header. A longer one is held by
+    headers that have its rarest gram, and those are looked at. All joins are by gram.
+    """
+    first = F.min_by("header", F.struct("ord", "header")).alias("header")
+    index = headers.select("header", "ord", F.explode(_grams(F.col("header"), F.sequence(F.lit(1), F.lit(GRAM)))).alias("gram"))
+    short = stems.filter(F.char_length("stem") <= GRAM).join(index.groupBy("gram").agg(first), F.col("stem") == F.col("gram")).select("stem", "header")
+    own = stems.filter(F.char_length("stem") > GRAM).select("stem", F.explode(_grams(F.col("stem"), F.array(F.lit(GRAM)))).alias("gram"))
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(sizes, "gram", "left").groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    held = rarest.join(index, "gram").filter(F.contains("header", F.col("stem"))).groupBy("stem").agg(first)
+    return short.unionByName(held)
+
+
 def resolve_header(names: DataFrame, headers: DataFrame, aliases: DataFrame) -> DataFrame:
     """names(name) with the header that each means, see header_of_name(). headers: header, ord. aliases: alias, header.
 
-    Headers and aliases are small: one row holds them all.
+    Any number of names, headers and aliases: all of it is equality joins. A null name means no header.
     """
-    own = bounded(headers).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "header"))), lambda h: h["header"]).alias("__headers"))
-    told = bounded(aliases).dropDuplicates(["alias"]).agg(F.map_from_entries(F.collect_list(F.struct("alias", "header"))).alias("__aliases"))
-    one = F.broadcast(own.withColumn("__one", F.lit(1)).join(told.withColumn("__one", F.lit(1)), "__one"))
-    return names.withColumn("__one", F.lit(1)).join(one, "__one").select("name", header_of_name(F.col("name"), F.col("__headers"), F.col("__aliases")).alias("header"))
+    asked = names.select("name").filter("name is not null").distinct()
+    real = headers.select("header").distinct()
+    same = asked.join(real, F.col("name") == F.col("header")).select("name", "header", F.lit(0).alias("rank"))
+    told = aliases.dropDuplicates(["alias"]).join(real, "header")
+    by_alias = asked.join(told, F.col("name") == F.col("alias")).select("name", "header", F.lit(1).alias("rank"))
+    stems = asked.withColumn("stem", F.regexp_replace("name", "标签$", "")).filter("stem <> ''")
+    held = stems.join(first_holder(stems.select("stem").distinct(), headers), "stem").select("name", "header", F.lit(2).alias("rank"))
+    best = same.unionByName(by_alias).unionByName(held).groupBy("name").agg(F.min_by("header", "rank").alias("header"))
+    return names.select("name").join(best, "name", "left")
 
 
 def header_of_name(name: Column, headers: Column, aliases: Column) -> Column:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reviewmill.functions.text import clean_text, phrase_steps
+from reviewmill.operators import rules
 from reviewmill.operators.literals import PatternIndex, fold, required
 from reviewmill.operators.rewriting import Rewriter, with_clean_text
 
@@ -119,3 +120,28 @@ def test_two_thousand_patterns_cost_little_more_than_twenty():
         return min(best)
 
     assert took(2000) < 4 * took(20) + 0.005
+
+
+def test_headers_of_names(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abc很") for _ in range(n))
+    headers = list(dict.fromkeys(word(rng.randint(1, 8)) + rng.choice(["", "标签"]) for _ in range(120)))
+    aliases = {word(4): rng.choice([*headers, "gone"]) for _ in range(30)}
+    names = [word(rng.randint(0, 6)) + rng.choice(["", "标签"]) for _ in range(200)] + headers[:10] + list(aliases)[:10] + [None, "", "标签", headers[0]]
+
+    def means(name):
+        if name is None or name in headers:
+            return name
+        if aliases.get(name) in headers:
+            return aliases[name]
+        stem = name.removesuffix("标签")
+        return next((h for h in headers if stem and stem in h), None)
+
+    order = list(enumerate(headers))
+    rng.shuffle(order)
+    got = rules.resolve_header(
+        spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(h, i) for i, h in order], "header string, ord int"), spark.createDataFrame(list(aliases.items()), "alias string, header string")
+    )
+    assert sorted(((r.name, r.header) for r in got.collect()), key=str) == sorted(((n, means(n)) for n in names), key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__one" not in plan and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
