@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.images import EXTENSIONS
 from ..operators.ledger import product_counts, status_stats
+from .xlsx import read_xlsx
 
 #: The columns of an exported product table, in order; bullets follow as bullet_1 to bullet_5.
 PRODUCT_COLUMNS = [
@@ -41,8 +42,10 @@ def require_columns(df: DataFrame, wanted: list[str], aliases: dict[str, list[st
 
 
 def read_reviews(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A review table: parquet, csv with a header or json lines; all columns are kept."""
+    """A review table: a workbook's first sheet, parquet, csv with a header or json lines; all columns are kept."""
     kind = kind or path.rstrip("/").rpartition(".")[2].lower()
+    if kind in ("xlsx", "xlsm"):
+        return read_xlsx(spark, path)
     reader = spark.read.option("header", True).option("multiLine", True) if kind == "csv" else spark.read
     return reader.format(kind).load(path)
 
