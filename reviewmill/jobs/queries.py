@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import images, labelling, ledger, matching, pages, pivot, requests, rules
+from ..operators import images, labelling, ledger, matching, pages, pivot, requests, rules, sketches
+from ..sources.session import shared_folder
 from ..sources.tables import export_products
 from ..streaming.logs import request_windows
 from . import label_queries, page_queries, rule_queries, store_queries, text_queries
@@ -357,6 +358,17 @@ def a7_overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.overall_stats(bound(spark, sf_dir, "downloads"))
 
 
+@query(f"with {ctes('downloads')} select year(created_at)::int as year, count(distinct asin) as products, count(distinct asin) filter (status = 'success') as with_images, true as within from downloads group by 1")
+def a8_product_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct products of each year by sketches of days, which are within the stated error of the exact counts beside them."""
+    downloads, path = bound(spark, sf_dir, "downloads"), shared_folder(spark, "sketches")
+    sketches.daily_sketches(downloads).write.parquet(path)
+    guess = sketches.distinct_counts(spark.read.parquet(path), F.year("day").alias("year")).withColumnsRenamed({"products": "p", "with_images": "w"})
+    exact = downloads.groupBy(F.year("created_at").alias("year")).agg(F.count_distinct("asin").alias("products"), F.count_distinct(F.when(F.col("status") == "success", F.col("asin"))).alias("with_images"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1), F.col(b) * sketches.ERROR)
+    return exact.join(guess, "year").select("year", "products", "with_images", (near("p", "products") & near("w", "with_images")).alias("within"))
+
+
 @query(f"with {ctes('downloads', 'products')} select (select count(*) from products) as total_products, (select count(distinct asin) from downloads where status = 'success') as products_with_images")
 def a8_product_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.product_counts(bound(spark, sf_dir, "products"), bound(spark, sf_dir, "downloads"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.operators import ledger
 from reviewmill.operators import requests as requests_log
+from reviewmill.operators import sketches
 from reviewmill.sources import ledger_table, log_table, runs, tables
 from reviewmill.sources.snapshots import Snapshots
 
@@ -213,3 +214,18 @@ def test_a_burst_is_many_parts_and_the_halo_is_small(spark):
     assert np.bincount(own, minlength=parts).max() < 2 * 60_000 / parts and len(np.unique(own[rows.k == "k"])) >= 7
     # of the quiet keys only what is within a minute of a part's end is copied
     assert (end > own)[rows.k != "k"].sum() < 60 * parts and (end >= own).all()
+
+
+def test_sketches_of_days(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("concat('p', id * 7 % 20000) as asin", "if(id % 3 = 0, 'success', 'failed') as status", "timestamp'2024-01-01' + make_dt_interval(cast(id % 40 as int)) as created_at")
+    sketches.daily_sketches(rows).write.parquet(str(tmp_path / "s"))
+    kept = spark.read.parquet(str(tmp_path / "s"))
+    assert kept.count() == 40
+    for first, last in (("2024-01-01", "2024-02-09"), ("2024-01-05", "2024-01-05"), ("2024-01-20", "2024-02-01")):
+        span = rows.filter(F.to_date("created_at").between(first, last))
+        exact = span.selectExpr("count(distinct asin)", "count(distinct if(status = 'success', asin, null))").first()
+        found = sketches.over_span(kept, first, last)
+        assert all(abs(a - b) <= sketches.ERROR * b for a, b in zip(found.first(), exact))
+        assert [f for f in found.inputFiles() if "/s/" not in f] == []
+    two = sketches.daily_sketches(rows.limit(0)).unionByName(kept).unionByName(kept)  # a day sketched twice
+    assert all(a == pytest.approx(b, rel=sketches.ERROR) for a, b in zip(sketches.distinct_counts(two).first(), sketches.distinct_counts(kept).first()))
