@@ -1,7 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can.
 
-Not for op4 and op5 (fitted models), op7 and op9 (tokenizers) and op8 (no crc32, and a generator's loop): these are
-tested against brute force and the libraries.
+Not for op4 and op5 (fitted models), op7, op9 and op13 (tokenizers) and op12 (eigenvectors): these are tested against
+brute force and the libraries.
 """
 
 from __future__ import annotations
@@ -71,5 +71,37 @@ from words left join sizes using (doc_id) left join (select doc_id, min(other) a
 """
 
 
+def _jump(shards: int) -> str:
+    """op8 in whole numbers: crc32 by a table of 256 values, the hash's loop by recursion.
+
+    Slots are counted by block; a shard of fewer than two blocks' rows is one, and so its slots follow the ids. This
+    SQL is right for such tables: below some 100,000 rows.
+    """
+    wrap = lambda x: f"(({x}) % 18446744073709551616::uhugeint)"
+    step = lambda x, shift, factor: wrap(f"xor({x}, {x} >> {shift})::uhugeint * {factor}::uhugeint") + "::ubigint"
+    jump = "floor((b + 1) * (2147483648.0::double / ((x >> 33)::double + 1.0::double)))::bigint"
+    return f"""
+with recursive bits as (select list(list_reduce([n::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) order by n) as t from range(256) r(n)),
+rows as (select doc_id, encode(coalesce(text, '')) as text from documents),
+told as (
+  select doc_id, octet_length(text)::bigint + 8 as size,
+    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::ubigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::bigint + 1])), 4294967295::ubigint)::bigint as text_crc32
+  from rows, bits),
+seeds as (select distinct doc_id, {wrap("coalesce(doc_id, -1)::uhugeint + 11400714819323198485::uhugeint")}::ubigint as x from told),
+one as (select doc_id, {step('x', 30, 13787848793156543929)} as x from seeds),
+two as (select doc_id, {step('x', 27, 10723151780598845931)} as x from one),
+keys as (select doc_id, xor(x, x >> 31) as x from two),
+jumps as (
+  select n, doc_id, x, 0::bigint as b, 0::bigint as j from keys, (values ({shards}), ({shards + 1})) v(n)
+  union all
+  select n, doc_id, x, j, {jump.replace('(b + 1)', '(j + 1)')} from (select n, doc_id, {wrap("x::uhugeint * 2862933555777941757::uhugeint + 1")}::ubigint as x, j from jumps where j < n)),
+landed as (select n, doc_id, max(b) as shard from jumps group by 1, 2),
+dealt as (
+  select t.*, s.shard::int as shard, g.shard::int as grown_shard from told t
+  join landed s on s.doc_id is not distinct from t.doc_id and s.n = {shards} join landed g on g.doc_id is not distinct from t.doc_id and g.n = {shards + 1})
+select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by doc_id, text_crc32, size) - 1)::bigint as slot, grown_shard from dealt
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_diagonals": licenses.oracle(), "op2_exact_dedup": EXACT, "op3_mix_sources": _mix(), "op6_warc_chunks": WARC, "op10_near_dups": NEAR, "op11_tput_search": ranking.oracle()}
+    return {"op1_license_diagonals": licenses.oracle(), "op2_exact_dedup": EXACT, "op3_mix_sources": _mix(), "op6_warc_chunks": WARC, "op8_jump_shards": _jump(24), "op10_near_dups": NEAR, "op11_tput_search": ranking.oracle()}
