@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_tags
@@ -20,11 +20,12 @@ def unpivot_tags(labelled: DataFrame, headers: list[str]) -> DataFrame:
 def tag_pivot(labelled: DataFrame, headers: list[str], totals: bool = False) -> DataFrame:
     """dimension, tag, n, share (percent of the dimension's tags, 2 decimals); with totals, a row TOTAL of each.
 
-    Counts are made in the map tasks first, so a common tag is no skew; shares are made of the counts.
+    Counts are made in the map tasks first, so a common tag is no skew; shares are made of the counts. A dimension of
+    many different tags is many tasks: what it has in all, one row a header, is joined to them.
     """
     counts = unpivot_tags(labelled, headers).groupBy("dimension", "tag").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("dimension"))
-    out = counts.withColumn("share", F.round(F.col("n") * 100 / whole, 2))
+    whole = counts.groupBy("dimension").agg(F.sum("n").alias("whole"))
+    out = counts.join(F.broadcast(whole), "dimension").select("dimension", "tag", "n", F.round(F.col("n") * 100 / F.col("whole"), 2).alias("share"))
     if totals:
         ends = counts.groupBy("dimension").agg(F.sum("n").alias("n")).select("dimension", F.lit(TOTAL).alias("tag"), "n", F.lit(100.0).alias("share"))
         out = out.unionByName(ends)

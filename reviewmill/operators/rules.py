@@ -115,7 +115,10 @@ def retire_patterns(fuzzy: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def group_patterns(groups: DataFrame, by: list[str] = ("header", "label")) -> DataFrame:
-    """One alternation for each header and label of groups (header, label, ord, phrase), or for each of other columns."""
+    """One alternation for each header and label of groups (header, label, ord, phrase), or for each of other columns.
+
+    groups are rules, so a bounded table.
+    """
     words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "phrase"))), lambda x: x["phrase"])
     return groups.groupBy(*by).agg(F.concat(F.lit("("), F.array_join(words, "|"), F.lit(")")).alias("pattern"))
 
@@ -147,7 +150,7 @@ def compile_rules(configs: DataFrame, sheet: DataFrame | None = None) -> DataFra
     fallback of their header, or of the header that has their label.
     """
     # configurations are parsed once and kept, as few as they are: each section is asked for several times
-    c = configs.select("config_id", F.from_json("config", CONFIG).alias("c")).select("config_id", "c.*").persist()
+    c = configs.select("config_id", F.from_json("config", CONFIG).alias("c")).select("config_id", "c.*")
     none = F.array().cast("array<string>")
     full = lambda name: F.concat_ws(_BETWEEN, "config_id", F.coalesce(header_of_name(name, F.coalesce("output_columns", none), F.col("header_alias_map")), name)).alias("header")
     section = lambda column: c.select("*", F.explode(column).alias("name", "own")).withColumn("header", full(F.col("name")))
