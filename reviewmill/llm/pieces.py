@@ -29,7 +29,7 @@ from .common import ship
 #: What a model writes for a space.
 SPACE = "▁"
 #: Entries of a worker's memory of encoded words. When it is full it becomes the old one, from which words in use come back.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
