@@ -33,11 +33,13 @@ OTHER_PRODUCT = (
 EARLIER_PRODUCT = "(?i)(return(?:ed)?|退回|退货|换过|试过).{0,50}(bad quality|poor quality|cheap|质量差|质量不好|做工差|廉价)"
 EASY_CARE = "易于护理的替代品|easy-care alternative|easy care alternative|low maintenance alternative"
 EASY_CARE_HEADER, EASY_CARE_LABEL = "核心痛点", "不想维护"
+# The opposite of a label, as results depend on it.
 OPPOSITES = {
     "清晰": "模糊", "很清楚": "模糊", "文字清晰": "模糊", "色彩好": "色彩差", "色彩准确": "偏色", "亮度满意": "亮度不足", "亮度不错": "亮度不足",
     "流畅": "系统卡顿", "稳定": "断连", "静音": "噪音大", "音质好": "音质差", "容易掉": "不掉叶", "掉叶严重": "不掉叶", "有异味": "没有异味",
     "假得明显": "非常逼真", "材质差": "材质好", "质量差": "质量好", "不稳": "很稳固", "容易倒": "很稳固",
 }
+# Headers that take several labels.
 MULTI_HEADERS = ["外观标签", "用户体验标签", "功能标签"]
 # Groups of labels of which one stays: of SIZE_GROUP the first in the text, of the others the first here.
 SIZE_GROUP = ["尺寸小", "尺寸大", "尺寸合适", "尺寸错误"]
