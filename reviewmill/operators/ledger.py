@@ -121,6 +121,21 @@ def download_errors(downloads: DataFrame) -> DataFrame:
     return downloads.filter("status = 'failed'").groupBy("asin", message).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def results_with_errors(downloads: DataFrame) -> DataFrame:
+    """download_results() with all error texts of a product, sorted, each as often as it occurs, in one text.
+
+    Texts are counted by product and message first, so a product that failed a million times with one text is a row a
+    task until its text is written out. That text is one cell, which a task must hold; download_errors() has no such bound.
+    """
+    counts = ("total", "success", "failed", "skipped")
+    message = F.when(F.col("status") == "failed", F.coalesce("error_message", F.lit("Unknown error"))).alias("message")
+    each = downloads.groupBy("asin", message).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in counts[1:]])
+    error = F.when(F.col("message").isNotNull(), F.struct("message", F.col("failed").alias("copies")))
+    found = each.groupBy("asin").agg(*[F.sum(c).alias(c) for c in counts], F.array_sort(F.collect_list(error)).alias("errors"))
+    copies = lambda e: F.concat(F.repeat(F.concat(e["message"], F.lit("; ")), (e["copies"] - 1).cast("int")), e["message"])
+    return found.withColumn("errors", F.array_join(F.transform("errors", copies), "; "))
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     counts = ("total", "success", "failed", "skipped")
     return results.agg(F.count(F.lit(1)).alias("products"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])

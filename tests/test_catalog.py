@@ -219,3 +219,14 @@ def test_lists_of_a_large_product(spark):
     p, q = ledger.download_results(rows).orderBy("asin").collect()
     assert tuple(p) == ("p", 3000, 1000, 2000, 0) and tuple(q) == ("q", 1, 0, 0, 1)
     assert sorted(map(tuple, ledger.download_errors(rows).collect())) == [("p", "Unknown error", 1000), ("p", "late", 1000)]
+
+
+def test_results_hold_all_error_texts(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'p' as asin", "if(id < 2000, 'failed', 'success') as status", "if(id % 2 = 0, 'late', null) as error_message")
+    rows = rows.unionByName(spark.sql("select 'q' as asin, 'skipped' as status, 'late' as error_message union all select null, 'failed', '' union all select null, 'failed', 'b' union all select null, null, 'c'"))
+    got = {r.asin: tuple(r)[1:] for r in ledger.results_with_errors(rows).collect()}
+    assert got == {"p": (3000, 1000, 2000, 0, "; ".join(["Unknown error"] * 1000 + ["late"] * 1000)), "q": (1, 0, 0, 1, ""), None: (3, 0, 2, 0, "; b")}
+    items = [(7, 1, 5, "A"), (7, 2, 2, "A"), (7, 3, 2, "A"), (7, 4, 2, "N"), (8, 5, 1, "R")]
+    spark.createDataFrame([(*r, 1.0, 0.0, 1.0) for r in items], "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double, l_extendedprice double").selectExpr("*", "date'2024-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.asin: r.asDict() for r in QUERIES["a17_download_results"](spark, str(tmp_path)).collect()}
+    assert got["7"] == {"asin": "7", "total": 4, "success": 1, "failed": 3, "skipped": 0, "errors": "HTTP 403; HTTP 403; Unknown error"} and got["8"]["errors"] == ""
