@@ -3,19 +3,23 @@
 Compiled from a model file: the normaliser (a space is written as SPACE, one is put before the text) is composed with
 the pieces, so the machine's arcs read raw characters and write ids; a character that no piece covers goes over an arc
 that writes its bytes. Composed with a text, it is a lattice whose places are those in the text, and the encoding is
-the path of least weight: the tropical semiring's shortest path, found place by place.
+the path of least weight: the tropical semiring's shortest path.
 
 A Unigram model's arcs weigh their pieces' negative log probabilities. A BPE model's scores are ranks of merges, no
 weights of a path. Its machine remembers the piece that it has written last, and going on from piece a to piece b
 weighs 0 if the model leaves the text a + b as these two pieces, and infinity if it would merge across them. Every two
 neighbours of a sequence are left alone just if the sequence is the model's own encoding of its text, so the shortest
 path weighs 0 and is the only one that does. The pairs' weights are expanded when a text first asks for them.
+
+A Unigram model's path is found place by place. A BPE model's is found depth first: no arc weighs less than 0, so a way
+through the lattice that has weighed 0 so far is the best there is, and only where it ends is another one looked for.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +34,8 @@ from .common import ship
 SPACE = "▁"
 #: Entries of a worker's memory of encoded words. When it is full it becomes the old one, from which words in use come back.
 MEMORY = 100_000
+#: Characters of a word up to which it is remembered whole. What no piece spans parts longer ones, and they are remembered so.
+WHOLE = 24
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,10 +121,18 @@ class Transducer:
         # in single precision, as the models' own library adds them up: near ties fall alike
         self.weights = {i: np.float32(0 if self.bpe else -self.scores[p]) for p, i in used.items()}
         self.unknown = 0.0 if self.bpe else np.float32(UNKNOWN_WEIGHT) - np.float32(min(self.scores.values(), default=0.0))
-        self.left_alone: dict[tuple[int, int], float] = {}
+        #: weights of pairs (a, b) at a * len(names) + b, and how the pieces in them are made
+        self.left_alone: dict[int, float] = {}
+        self.made: dict[int, tuple[list[float], list[str], list[str]]] = {}
+        #: most characters of a piece; and whether each character of a piece is a piece, so that bytes are written only for characters that no piece holds
+        self.most = max(map(len, used), default=0)
+        self.closed = self.bpe and all(c in used for p in used for c in p)
         #: the compiled machine: arcs of each state by raw character, and the piece that ends there (FREE: none)
         self.arcs: list[dict[str, int]] = [{}]
         self.ends = [FREE]
+        #: the longest piece on the way to each state, and the longest that each piece begins with (FREE: none)
+        self.longest: list[int] = []
+        self.shorter = [FREE] * len(self.names)
         for p, i in used.items():
             at = 0
             for c in p:
@@ -130,6 +144,12 @@ class Transducer:
                         self.arcs[at][" "] = len(self.arcs) - 1
                 at = self.arcs[at][c]
             self.ends[at] = i
+        self.longest = [FREE] * len(self.ends)
+        for number, arcs in enumerate(self.arcs):  # states come after those that lead to them
+            for to in arcs.values():
+                self.longest[to] = self.longest[number] if self.ends[to] == FREE else self.ends[to]
+                if self.ends[to] != FREE:
+                    self.shorter[self.ends[to]] = self.longest[number]
         self.inner = {p[i : i + 2] for p in used for i in range(len(p) - 1)}
         if any(x[1] == SPACE != x[0] for x in self.inner):
             raise ValueError("a piece holds a space after another character")
@@ -143,8 +163,11 @@ class Transducer:
         self.known = _Known(self)
         self.shown = [p.replace(SPACE, " ") for p in self.names]
 
-    def merge(self, text: str) -> list[str]:
-        """A BPE model's merges, on a text of two pieces or one: the best pair first, the leftmost of equals."""
+    def merges(self, text: str) -> Iterator[tuple[float, list[str]]]:
+        """A BPE model's merges, on a text of two pieces or one: the best pair first, the leftmost of equals.
+
+        Each gives its score and the parts that the text then has.
+        """
         parts = list(text)
         while len(parts) > 1:
             best = None
@@ -156,16 +179,95 @@ class Transducer:
                 break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            yield best[0], parts
+
+    def merge(self, text: str) -> list[str]:
+        parts = list(text)
+        for _, parts in self.merges(text):  # noqa: B007
+            pass
         return parts
 
+    def making(self, piece: int) -> tuple[list[float], list[str], list[str]]:
+        """How merges make a piece: their scores, and its first and its last part before each and at the end."""
+        if (found := self.made.get(piece)) is None:
+            name = self.names[piece]
+            scores, firsts, lasts = [], [name[0]], [name[-1]]
+            for score, parts in self.merges(name):
+                scores.append(score)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            found = self.made[piece] = ([*scores, -_INFINITE], firsts, lasts)
+        return found
+
     def between(self, a: int, b: int) -> float:
-        """Weight of going on from piece a to piece b, in a BPE model."""
+        """Weight of going on from piece a to piece b, in a BPE model.
+
+        On the text a + b the model makes both by their own merges, the best first, unless one across is better at some time.
+        """
         if len(self.left_alone) > MEMORY:
             self.left_alone.clear()
-        x, y = self.names[a], self.names[b]
-        weight = self.left_alone[a, b] = 0.0 if self.merge(x + y) == [x, y] else _INFINITE
+        (left, _, lasts), (right, firsts, _), score = self.making(a), self.making(b), self.scores.get
+        i, j, weight = 0, 0, 0.0
+        while True:
+            x, y, across = left[i], right[j], score(lasts[i] + firsts[j])
+            if across is not None and across > x and across >= y:
+                weight = _INFINITE
+                break
+            if x >= y:
+                if x == -_INFINITE:
+                    break
+                i += 1
+            else:
+                j += 1
+        self.left_alone[a * len(self.names) + b] = weight
         return weight
 
+    def weightless(self, text: str) -> list[int]:
+        """Ids on the path of weight 0 in a BPE model whose characters are pieces: depth first, longer pieces first.
+
+        A place is reached by one path of weight 0 at most (the encoding of what is before it). So where no way leads on
+        from a place, none ever will, and it isn't tried again: time is linear in the text.
+        """
+        n, size, arcs, names, longest, shorter, known = len(text), len(self.names), self.arcs, self.names, self.longest, self.shorter, self.left_alone.get
+        dead: set[int] = set()
+        out: list[int] = []  # pieces on the way; less than FREE: -2 - place of a character that is written in bytes
+        at, before, piece = 0, FREE, None
+        while at < n:
+            if piece is None:
+                state = 0
+                for c in text[at : at + self.most]:
+                    if (to := arcs[state].get(c)) is None:
+                        break
+                    state = to
+                if not state:
+                    out.append(-2 - at)
+                    at, before = at + 1, FREE
+                    continue
+                piece = longest[state]
+            while piece != FREE:
+                if before == FREE or not (self.between(before, piece) if (pair := known(before * size + piece)) is None else pair):
+                    end = at + len(names[piece])
+                    if not dead or end not in dead:
+                        break
+                piece = shorter[piece]
+            if piece != FREE:
+                out.append(piece)
+                at, before, piece = end, piece, None
+                continue
+            dead.add(at)
+            while out and out[-1] < FREE:
+                at -= 1
+                out.pop()
+            if not out:
+                raise ValueError(f"no path of finite weight through {text[:60]!r}")
+            last = out.pop()
+            at -= len(names[last])
+            before, piece = out[-1] if out and out[-1] > FREE else FREE, shorter[last]
+        if min(out) > FREE:
+            return out
+        byte = self.byte_ids
+        return [i for x in out for i in ((x,) if x > FREE else [byte[b] for b in text[-2 - x].encode("utf-8", "replace")])]
+
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path through the composition with a text.
 
@@ -174,7 +276,7 @@ class Transducer:
         BPE model's has one that any finite path leads to (the encoding of what is before it, of weight 0), and a
         place that has been reached with 0 needs no other path.
         """
-        n, arcs, ends, bpe, known = len(text), self.arcs, self.ends, self.bpe, self.left_alone.get
+        n, size, arcs, ends, bpe, known = len(text), len(self.names), self.arcs, self.ends, self.bpe, self.left_alone.get
         least, start, last = [_INFINITE] * (n + 1), [0] * (n + 1), [FREE] * (n + 1)
         least[0] = 0.0 if bpe else np.float32(0)
         for at in range(n):
@@ -194,7 +296,7 @@ class Transducer:
                 elif before == FREE:
                     weight = so_far
                 else:
-                    weight = so_far + (self.between(before, piece) if (pair := known((before, piece))) is None else pair)
+                    weight = so_far + (self.between(before, piece) if (pair := known(before * size + piece)) is None else pair)
                 if weight < least[end]:
                     least[end], start[end], last[end] = weight, at, piece
             if not single and so_far + self.unknown < least[at + 1]:
@@ -241,7 +343,9 @@ class _Known(dict):
         super().__init__()
         self.owner, self.old = owner, {}
 
-    def keep(self, text: str, ids: bytes) -> bytes:
+    def __missing__(self, text: str) -> bytes:
+        if (ids := self.old.get(text)) is None:
+            ids = self.parts(text)
         if len(text) < 64:
             if len(self) > MEMORY:
                 self.old = dict(self)
@@ -249,19 +353,14 @@ class _Known(dict):
             self[text] = ids
         return ids
 
-    def __missing__(self, text: str) -> bytes:
-        if (ids := self.old.get(text)) is not None:
-            return self.keep(text, ids)
+    def parts(self, text: str) -> bytes:
         t = self.owner
         inner = t.inner
         # no piece spans a pair of characters that none holds
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner] if len(text) > WHOLE or not t.closed else ()
         if cuts:
-            out = b"".join([self[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
-        else:
-            ids = t.shortest(text)
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        return self.keep(text, out)
+            return b"".join([self[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+        return array("I", t.weightless(text) if t.closed else t.shortest(text)).tobytes()
 
 
 _compiled: dict[str, Transducer] = {}

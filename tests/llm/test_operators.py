@@ -313,6 +313,38 @@ def test_bpe_of_any_order(tmp_path):
             assert t.encode(s).tolist() == library.encode(s), (seed, s)
 
 
+def test_a_way_without_weight_goes_straight_on(tmp_path):
+    """Few pairs are looked at, and they weigh what merging their text says; dead ends are left as place by place."""
+    file, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(5)
+    t, parts = pieces.Transducer(file), "the er in ost ung ción ß ent re sh on le Ab 漢".split()
+    words = [" " + "".join(rng.choice(parts) for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    t.left_alone = Asked()
+    ids = t.encode("".join(words))
+    assert t.left_alone.n < len(ids)  # place by place: 1.4 times that
+    assert all(t.weightless(w) == t.shortest(w) for w in words)
+    for seed in range(4):
+        rng = random.Random(seed)
+        found = list({"".join(rng.choice("ab▁"[: 2 + (i == 0)]) for i in range(n)) for n in range(2, 6) for _ in range(12)})
+        rng.shuffle(found)
+        t = pieces.Transducer(model_file(tmp_path / f"p{seed}.model", [(x, -float(i // (1 + seed))) for i, x in enumerate(found)] + [(x, -1000.0) for x in "ab▁"], 2))
+        assert t.closed
+        for a in t.weights:
+            for b in t.weights:
+                x, y = t.names[a], t.names[b]
+                assert (t.between(a, b) == 0) == (t.merge(x + y) == [x, y])
+        for _ in range(300):
+            s = "".join(rng.choice("ababab z😀") for _ in range(rng.randint(1, 30)))
+            assert t.weightless(s) == t.shortest(s), (seed, s)
+
+
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(ValueError):
         pieces.Transducer(model_file(tmp_path / "w.model", [("a", -1.0)], 3))
