@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images, ledger
 from ..sources import ledger_table, log_table, runs
-from ..sources.session import shared_folder, ship, spread
+from ..sources.session import make_folder, remove_folder, shared_folder, ship
 from ..sources.tables import read_images, report, write_report
 from .bindings import AS_OF, bound, ctes, table
 
@@ -62,13 +63,35 @@ counts as (select count(*) as total, count(*) filter (status = 'valid') as valid
 select *, case when total > 0 then round(valid * 100 / total, 1) else 0.0 end as valid_percent, case when total > 0 then round(corrupt * 100 / total, 1) else 0.0 end as corrupt_percent from counts"""
 
 
+#: Parts whose image files lie in the shared folder at a time: 16 KB each on average, 60 KB at most.
+PORTION = 20_000
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on an image file of each part, written by tasks to the shared folder."""
+    """Verdicts on an image file of each part, written by tasks to the shared folder and found there.
+
+    Files lie there a portion of the parts at a time, so they take the same space and the same list of the driver's for
+    any number of parts. A portion goes once its verdicts are written; these stay. The table is dealt to portions once.
+    """
     ship(spark)
-    folder = shared_folder(spark, "images")
-    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long"))
-    parts.mapInArrow(_write_images(folder), "n long").agg(F.sum("n")).collect()
-    return images.check_images(read_images(spark, folder))
+    root, cores = shared_folder(spark, "images"), spark.sparkContext.defaultParallelism
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long"))
+    n = max(1, math.ceil(parts.count() / PORTION))
+    parts = parts.withColumn("portion", F.pmod(F.xxhash64("p_partkey"), F.lit(n)).cast("int"))
+    parts.repartition("portion").write.partitionBy("portion").parquet(f"{root}/parts")
+    dealt = spark.read.schema(parts.schema).parquet(f"{root}/parts")
+    for i in range(n):
+        folder = f"{root}/{i}"
+        make_folder(spark, folder)
+        try:
+            own = dealt.filter(F.col("portion") == i).repartition(cores)
+            own.mapInArrow(_write_images(folder), "n long").agg(F.sum("n")).collect()
+            # the scan makes a task of a few files each, as if it would read them
+            checked = images.check_images(read_images(spark, folder).coalesce(cores))
+            checked.write.mode("append").parquet(f"{root}/verdicts")
+        finally:
+            remove_folder(spark, folder)
+    return spark.read.schema(checked.schema).parquet(f"{root}/verdicts")
 
 
 def io6_h4_image_check(spark: SparkSession, sf_dir: str) -> DataFrame:

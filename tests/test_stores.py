@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewmill.jobs import store_queries
+from reviewmill.jobs.queries import ORACLES, QUERIES
 from reviewmill.operators import ledger
 from reviewmill.operators import requests as requests_log
 from reviewmill.operators import sketches
@@ -229,3 +231,40 @@ def test_sketches_of_days(spark, tmp_path):
         assert [f for f in found.inputFiles() if "/s/" not in f] == []
     two = sketches.daily_sketches(rows.limit(0)).unionByName(kept).unionByName(kept)  # a day sketched twice
     assert all(a == pytest.approx(b, rel=sketches.ERROR) for a, b in zip(sketches.distinct_counts(two).first(), sketches.distinct_counts(kept).first()))
+
+
+@pytest.mark.parametrize("n, portion", [(200, 30), (200, 1000), (1, 30), (0, 30)])
+@pytest.mark.parametrize("name", ["io6_h4_image_check"])
+def test_image_files_lie_there_a_portion_at_a_time(spark, tmp_path, monkeypatch, name, n, portion):
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(n).selectExpr("id * 3 as p_partkey", "cast(id % 50 + 1 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "in/part.parquet"))
+    lying = []
+
+    def read(spark, folder):
+        lying.append(sum(p.is_file() and p.suffix != ".crc" for kind in ("png", "jpg", "webp") for p in tmp_path.rglob(f"images/**/*.{kind}")))
+        return tables.read_images(spark, folder)
+
+    monkeypatch.setattr(store_queries, "PORTION", portion, raising=False)
+    monkeypatch.setattr(store_queries, "read_images", read)
+    monkeypatch.setattr(store_queries, "shared_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = QUERIES[name](spark, str(tmp_path / "in"))
+    rows = got.collect()
+    assert sum(lying) == n and max(lying) <= 2 * portion  # every part's file has been there
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/in/part.parquet/*.parquet')")
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    assert not [p for kind in ("png", "jpg", "webp") for p in tmp_path.rglob(f"*.{kind}")]
+
+
+def test_image_files_go_when_a_portion_fails(spark, tmp_path, monkeypatch):
+    spark.range(20).selectExpr("id as p_partkey", "cast(1 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "in/part.parquet"))
+
+    def fail(spark, folder):
+        raise RuntimeError("died")
+
+    monkeypatch.setattr(store_queries, "read_images", fail)
+    monkeypatch.setattr(store_queries, "shared_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    with pytest.raises(RuntimeError):
+        store_queries.io6_h4_image_check(spark, str(tmp_path / "in"))
+    assert not [*tmp_path.rglob("*.png")]
