@@ -234,7 +234,7 @@ def test_sketches_of_days(spark, tmp_path):
 
 
 @pytest.mark.parametrize("n, portion", [(200, 30), (200, 1000), (1, 30), (0, 30)])
-@pytest.mark.parametrize("name", ["io6_h4_image_check"])
+@pytest.mark.parametrize("name", ["io6_h4_image_check", "a18_image_report"])
 def test_image_files_lie_there_a_portion_at_a_time(spark, tmp_path, monkeypatch, name, n, portion):
     duckdb = pytest.importorskip("duckdb")
     spark.range(n).selectExpr("id * 3 as p_partkey", "cast(id % 50 + 1 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "in/part.parquet"))
